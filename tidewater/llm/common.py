@@ -95,3 +95,14 @@ def env_threads() -> None:
     for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(k, "1")
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def reuse_memory() -> None:
+    """Let the C library keep freed blocks, so that large numpy temporaries aren't mapped anew each time."""
+    import contextlib
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
