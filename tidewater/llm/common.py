@@ -69,7 +69,27 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = new_path(spark, name)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete what `written` made; the table must have no further reader."""
+    path = _paths.pop(id(df), None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now rather than at some later collection of garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_of(c: str | Column) -> Column:

@@ -190,11 +190,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     firsts = raw.where(f"n_words >= {WINDOW}").groupBy("d1", "d2", "n_words").agg(F.min("id").alias("first"))
     read = raw.join(firsts, ["d1", "d2", "n_words"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     read = common.written(read.select("id", "n_words", "d1", "d2", "sha", "copy", F.when(~F.col("copy"), F.col("fps")).otherwise(F.array().cast("array<long>")).alias("fps")), "read")
+    common.release(docs.sparkSession)
     shared = shared_fingerprints(read.where("not copy").select("id", "fps"), batches)
+    common.release(docs.sparkSession)
     hits = read.where("not copy").select("id", F.explode("fps").alias("fp")).join(shared, "fp", "left_semi").groupBy("id").agg(F.collect_list("fp").alias("fps"))
     windows = common.written(src.join(hits, "id").select("id", "text", "fps").mapInArrow(_expand, "w1 long, w2 long, id long, d1 long, d2 long, at int"), "windows")
+    common.release(docs.sparkSession)
     low = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
     gone = windows.join(low, ["w1", "w2"]).where("low < id").groupBy("id", "d1", "d2").agg(F.collect_set("at").alias("at"))
+    gone = common.written(gone, "gone")
+    for done in (raw, shared, windows):
+        common.drop_written(done)
+    common.release(docs.sparkSession)
     left = src.join(gone, "id").select("id", "text", "d1", "d2", "at").mapInArrow(_keep, "id long, d1 long, d2 long, n_removed long, kept_text string, kept_sha256 string")
     left = left.dropDuplicates(["id", "d1", "d2"]).select("id", "d1", "d2", F.col("n_removed").alias("r"), F.col("kept_sha256").alias("k"), *(["kept_text"] if with_text else []))
     nothing = hashlib.sha256(b"").hexdigest()
