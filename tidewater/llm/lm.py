@@ -35,11 +35,11 @@ HELD_OUT = (7, 2)
 HEAD_WORDS, WORD_BYTES = 1 << 18, 64
 FLUSH = 500_000
 RANKS, N_IDS, END = "byte_bpe_50k.tiktoken", 50_257, 50_256
-CLASSES, MEMBERS, BUCKETS, DIM = 32, 32, 512, 32
+CLASSES, MEMBERS, BUCKETS, DIM, KEY = 32, 32, 512, 32, 12
 HEAD_IDS = CLASSES * MEMBERS
 CONTEXT, STRIDE = 16, 12
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2000, 80_000, 3, 256, 0.02
-CHUNK = 256
+CHUNK = 1024
 
 
 def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -115,29 +115,29 @@ class Model:
         d, p = DIM, (counts + 1.0) / (counts + 1.0).sum()
         inner = np.log(np.bincount(self.cls[order] * MEMBERS + self.member[order], weights=p[order], minlength=HEAD_IDS).reshape(CLASSES, MEMBERS))
         self.p = {
-            "emb": n(HEAD_IDS + BUCKETS, d, k=0.3), "pos": n(CONTEXT, d), "qkv": n(d, 3 * d, k=d**-0.5), "o": n(d, d, k=d**-0.5),
+            "emb": n(HEAD_IDS + BUCKETS, d, k=0.3), "pos": n(CONTEXT, d), "qkv": n(d, 2 * KEY + d, k=d**-0.5), "o": n(d, d, k=d**-0.5),
             "out": n(d, CLASSES + 1), "bias": np.log(np.bincount(self.cls, weights=p, minlength=CLASSES + 1)).astype(np.float32),
             "out2": n(CLASSES, d, MEMBERS), "bias2": inner.astype(np.float32),
         }
         self.mask = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
-    def forward(self, x: np.ndarray, keep: bool = False):
-        """x: windows of input classes, the id before each scored one. Returns the states, n x CONTEXT x DIM."""
+    def forward(self, x: np.ndarray, keep: bool = False, since: int = 0):
+        """x: windows of input classes, the id before each scored one. Returns the states from place `since` on."""
         p, n = self.p, len(x)
         e = p["emb"][x]
         e += p["pos"]
-        qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, CONTEXT, 3, DIM)
-        q, k, v = qkv[:, :, 0], qkv[:, :, 1], qkv[:, :, 2]
+        qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, CONTEXT, 2 * KEY + DIM)
+        q, k, v = qkv[:, since:, :KEY], qkv[:, :, KEY : 2 * KEY], qkv[:, :, 2 * KEY :]
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(DIM**-0.5)
-        s += self.mask
+        s *= np.float32(KEY**-0.5)
+        s += self.mask[since:]
         s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(-1, keepdims=True)
         c = np.matmul(s, v).reshape(-1, DIM)
         h = c @ p["o"]
-        h += e.reshape(-1, DIM)
-        h = h.reshape(n, CONTEXT, DIM)
+        h += e[:, since:].reshape(-1, DIM)
+        h = h.reshape(n, CONTEXT - since, DIM)
         return (h, (e, q, k, v, s, c)) if keep else h
 
     def groups(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -208,8 +208,8 @@ class Model:
         dc = (d_flat @ p["o"].T).reshape(h.shape)
         ds = np.matmul(dc, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), dc)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        d_qkv = np.stack([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 3 * DIM)
+        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(KEY**-0.5)
+        d_qkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 2 * KEY + DIM)
         de = d_flat + d_qkv @ p["qkv"].T
         emb = np.zeros_like(p["emb"])
         np.add.at(emb, x.reshape(-1), de)
@@ -233,13 +233,15 @@ class Model:
         begin, first, stop, owner = map(np.array, (begin, first, stop, owner))
         total, place = np.zeros(len(texts)), np.arange(CONTEXT)
         x_all = self.in_class[before]
-        for i in range(0, len(begin), CHUNK):
-            b, f, e = begin[i : i + CHUNK], first[i : i + CHUNK], stop[i : i + CHUNK]
-            at = np.minimum(b[:, None] + place, len(ids) - 1)
-            h = self.forward(x_all[at])
-            use = (place >= f[:, None]) & (place < e[:, None])
-            lp = self.log_probs(h[use], ids[at[use]])
-            total += np.bincount(np.repeat(owner[i : i + CHUNK], use.sum(1)), weights=lp, minlength=len(texts))
+        for since in (0, CONTEXT - STRIDE):  # first windows, then those that score their last STRIDE places only
+            of = np.flatnonzero(first == since)
+            for i in range(0, len(of), CHUNK):
+                w = of[i : i + CHUNK]
+                at = np.minimum(begin[w, None] + place, len(ids) - 1)
+                h = self.forward(x_all[at], since=since)
+                use = place[since:] < stop[w, None]
+                lp = self.log_probs(h[use], ids[at[:, since:][use]])
+                total += np.bincount(np.repeat(owner[w], use.sum(1)), weights=lp, minlength=len(texts))
         return total / math.log(10)
 
 
@@ -285,12 +287,12 @@ def _score(model, head, c_end: int, total: float, ranks: str | None):
                 n, hits, part, words, tf, of = [], [], [], [], [], []
                 for i, t in enumerate(low):
                     w = t.split()
-                    logs = [get(x) for x in w]
-                    rare = Counter(x for x, v in zip(w, logs, strict=True) if v is None)
+                    logs = list(map(get, w))
+                    rare = Counter([x for x, v in zip(w, logs, strict=True) if v is None])
                     n_rare = rare.total()
                     n.append(len(w) + 1)
                     hits.append(len(w) - n_rare + (c_end > 0))
-                    part.append(math.fsum(v for v in logs if v is not None) - (len(w) - n_rare) * log_total + end)
+                    part.append(sum(filter(None, logs)) - (len(w) - n_rare) * log_total + end)
                     words += rare.keys()
                     tf += rare.values()
                     of += [uid + i] * len(rare)
