@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import NULL_TOKENS
 
@@ -31,7 +32,7 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))), "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _decompose(s: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKD", x) for x in s.to_pylist()], pa.string())
 
