@@ -1,7 +1,7 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised texts (their bytes, then the id), each partition is sorted
-externally, and neighbours are compared in full. Ids are part of the sort key, so a group that holds a third of
+Sampled splitters range-partition the normalised texts (a prefix of their bytes, a hash, then the id), each partition
+is sorted externally by that and the whole text, and neighbours are compared in full. Ids are part of the sort key, so a group that holds a third of
 all rows spreads over many partitions; the first row of a run has its smallest id. A run that touches a
 partition's edge may go on next door: each partition reports its first and last text (two rows, bounded by the
 number of partitions), neighbouring edges are compared in full by a join, and their counts are chained.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _OUT = "id long, keep_id long, size long, first boolean, sha string, pid int, edge int, head string, tail string, head_size long, head_id long, tail_size long, tail_id long, single boolean"
+#: Characters of the text that splitters hold.
+PREFIX = 24
 #: edge: which runs of its partition a row belongs to.
 INNER, HEAD, TAIL, BOTH, REPORT = 0, 1, 2, 3, 4
 
@@ -159,8 +161,11 @@ def content_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     spark = docs.sparkSession
     common.ship(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), normalised(text_col).alias("text"))
-    order = ["text", F.col("id").asc_nulls_last()]
-    d = d.repartitionByRange(partitions or common.slots(spark), *order).sortWithinPartitions(*order)
+    # Splitters hold a prefix and a hash of the text, so that sampling sends no whole texts to the driver. The sort below
+    # keeps that order and breaks its ties by the text itself.
+    d = d.withColumns({"prefix": F.substring("text", 1, PREFIX), "hash": F.xxhash64("text")})
+    last = F.col("id").asc_nulls_last()
+    d = d.repartitionByRange(partitions or common.slots(spark), "prefix", "hash", last).sortWithinPartitions("prefix", "hash", "text", last)
     runs = common.written(d.select("id", "text", F.sha2("text", 256).alias("sha")).mapInArrow(_runs, _OUT), "runs")
     over = _chain(runs.where(F.col("edge") == REPORT))
     rows = runs.where(F.col("edge") != REPORT).select("id", "keep_id", "size", "first", "sha", "pid", "edge")
