@@ -11,34 +11,53 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: Units kept at once by one worker, and the longest one that is kept: together the bound on the cache's memory.
 LIMIT, LONGEST = 1_000_000, 48
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Units(dict):
-    """unit -> packed ids, computed on a miss; emptied when full."""
+    """unit -> packed ids, computed on a miss; emptied when full. A unit has a space before it, or begins with a newline."""
 
-    def __init__(self, ids_of: Callable[[str], Iterable[int]], prefix: str):
+    def __init__(self, ids_of: Callable[[str], Iterable[int]]):
         super().__init__()
-        self.ids_of, self.prefix = ids_of, prefix
+        self.ids_of = ids_of
 
     def __missing__(self, unit: str) -> bytes:
-        ids = array("I", self.ids_of(self.prefix + unit))
-        packed = ids.tobytes()
+        packed = array("I", self.ids_of(unit if unit[:1] == "\n" else " " + unit)).tobytes()
+        self.keep(unit, packed)
+        return packed
+
+    def keep(self, unit: str, packed: bytes) -> None:
         if len(unit) <= LONGEST:
             if len(self) >= LIMIT:
                 self.clear()
             self[unit] = packed
-        return packed
 
 
 class Packer:
-    """Text -> packed ids, given a function from a unit to its ids."""
+    """Text -> packed ids, given a function from a string to its ids.
 
-    def __init__(self, ids_of: Callable[[str], Iterable[int]]):
-        self.first, self.spaced = Units(ids_of, ""), Units(ids_of, " ")
-        self.newline = array("I", ids_of("\n")).tobytes()
+    `opens`, where given, says of each id whether its token begins with a space: a text's unseen units are then encoded
+    in one call and cut at such tokens, as a spaced unit begins with one and holds no other.
+    """
+
+    def __init__(self, ids_of: Callable[[str], Iterable[int]], opens: np.ndarray | None = None):
+        self.ids_of, self.units, self.opens = ids_of, Units(ids_of), opens
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Packed ids of units that hold no blank, from one call."""
+        ids = np.array(self.ids_of(" " + " ".join(units)), "<u4")
+        at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(at) != len(units):
+            return {u: self.units[u] for u in units}
+        packed, at = ids.tobytes(), [*at, 4 * len(ids)]
+        new = {u: packed[at[k] : at[k + 1]] for k, u in enumerate(units)}
+        for u, ids in new.items():
+            self.units.keep(u, ids)
+        return new
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -46,10 +65,15 @@ class Packer:
         words = text.split()
         # No two blanks meet, none is at an end, and each is a space or a newline.
         if len(" ".join(words)) == len(text) and text.count(" ") + text.count("\n") == len(words) - 1:
-            of, lines = self.spaced.__getitem__, []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                lines.append(self.first[head] + b"".join(map(of, rest)))
-            return self.newline.join(lines)
-        head, *rest = _LONE.split(text)
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+            head, *rest = text.replace("\n", " \n").split(" ")
+            if self.opens is not None:
+                found = list(map(self.units.get, rest))
+                if None in found:
+                    pairs = list(zip(rest, found, strict=True))
+                    spaced = {u: None for u, f in pairs if f is None and u[0] != "\n"}
+                    new = self.learn(list(spaced)) if spaced else {}
+                    found = [f if f is not None else new[u] if u in new else self.units[u] for u, f in pairs]
+                return array("I", self.ids_of(head)).tobytes() + b"".join(found)
+        else:
+            head, *rest = _LONE.split(text)
+        return array("I", self.ids_of(head)).tobytes() + b"".join(map(self.units.__getitem__, rest))
