@@ -43,6 +43,7 @@ def _packer(path: str) -> Packer:
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    tok.model._resize_cache(0)  # the packer keeps what it has seen, so the library's own cache only costs
     opens = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
     opens[[i for token, i in tok.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True  # a space, as byte-level BPE writes it
     return Packer(lambda unit: tok.encode_batch_fast([unit], add_special_tokens=False)[0].ids, opens)

@@ -46,18 +46,35 @@ class Packer:
 
     def __init__(self, ids_of: Callable[[str], Iterable[int]], opens: np.ndarray | None = None):
         self.ids_of, self.units, self.opens = ids_of, Units(ids_of), opens
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, units: list[str]) -> dict[str, bytes]:
-        """Packed ids of units that hold no blank, from one call."""
+    def learn(self, units: list[str]) -> None:
+        """Encode units that hold no blank in one call."""
         ids = np.array(self.ids_of(" " + " ".join(units)), "<u4")
         at = (4 * np.flatnonzero(self.opens[ids])).tolist()
-        if len(at) != len(units):
-            return {u: self.units[u] for u in units}
-        packed, at = ids.tobytes(), [*at, 4 * len(ids)]
-        new = {u: packed[at[k] : at[k + 1]] for k, u in enumerate(units)}
-        for u, ids in new.items():
-            self.units.keep(u, ids)
-        return new
+        if len(at) == len(units):
+            packed = ids.tobytes()
+            self.known.update(zip(units, map(packed.__getitem__, map(slice, at, [*at[1:], len(packed)])), strict=True))
+        else:
+            self.known.update((u, self.units[u]) for u in units)
+
+    def many(self, rest: list[str]) -> bytes:
+        """Packed ids of a text's units; those known stay within LIMIT and one text's."""
+        known = self.known
+        if len(known) > LIMIT:
+            known.clear()
+        unseen = set(rest).difference(known)
+        if unseen:
+            spaced = [u for u in unseen if u[0] != "\n"]
+            if spaced:
+                self.learn(spaced)
+            known.update((u, self.units[u]) for u in unseen if u[0] == "\n")
+        out = b"".join(map(known.__getitem__, rest))
+        if unseen and max(map(len, unseen)) > LONGEST:
+            for u in unseen:
+                if len(u) > LONGEST:
+                    del known[u]
+        return out
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -67,13 +84,7 @@ class Packer:
         if len(" ".join(words)) == len(text) and text.count(" ") + text.count("\n") == len(words) - 1:
             head, *rest = text.replace("\n", " \n").split(" ")
             if self.opens is not None:
-                found = list(map(self.units.get, rest))
-                if None in found:
-                    pairs = list(zip(rest, found, strict=True))
-                    spaced = {u: None for u, f in pairs if f is None and u[0] != "\n"}
-                    new = self.learn(list(spaced)) if spaced else {}
-                    found = [f if f is not None else new[u] if u in new else self.units[u] for u, f in pairs]
-                return array("I", self.ids_of(head)).tobytes() + b"".join(found)
+                return array("I", self.ids_of(head)).tobytes() + self.many(rest)
         else:
             head, *rest = _LONE.split(text)
         return array("I", self.ids_of(head)).tobytes() + b"".join(map(self.units.__getitem__, rest))
