@@ -15,6 +15,8 @@ import numpy as np
 
 #: Units kept at once by one worker, and the longest one that is kept: together the bound on the cache's memory.
 LIMIT, LONGEST = 1_000_000, 48
+#: Units of one generation of the batched cache, which holds two; one that is used again moves to the younger.
+YOUNG = 200_000
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -47,6 +49,7 @@ class Packer:
     def __init__(self, ids_of: Callable[[str], Iterable[int]], opens: np.ndarray | None = None):
         self.ids_of, self.units, self.opens = ids_of, Units(ids_of), opens
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, units: list[str]) -> None:
         """Encode units that hold no blank in one call."""
@@ -59,11 +62,15 @@ class Packer:
             self.known.update((u, self.units[u]) for u in units)
 
     def many(self, rest: list[str]) -> bytes:
-        """Packed ids of a text's units; those known stay within LIMIT and one text's."""
-        known = self.known
-        if len(known) > LIMIT:
-            known.clear()
+        """Packed ids of a text's units; each generation stays within YOUNG and one text's."""
+        if len(self.known) > YOUNG:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         unseen = set(rest).difference(known)
+        if unseen and old:
+            again = {u: old[u] for u in unseen if u in old}
+            known.update(again)
+            unseen.difference_update(again)
         if unseen:
             spaced = [u for u in unseen if u[0] != "\n"]
             if spaced:
