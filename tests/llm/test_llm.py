@@ -165,3 +165,16 @@ def test_html(spark):
     kept = html.trained().label([html.features(p) for p in pages])
     right = np.concatenate([k == np.array([b.main for b in p]) for k, p in zip(kept, pages, strict=True)])
     assert right.mean() > 0.98
+
+
+def test_lm_counts_ids_of_words():
+    import pyarrow as pa
+
+    words = pa.RecordBatch.from_arrays([pa.array([b"the", "é".encode()], pa.binary()), pa.array([3, 2], pa.int64())], ["word", "c"])
+    (out,) = lm._count_ids(None)(iter([words]))
+    pack = lm._packer(common.tokenizer_file(lm.RANKS))
+    want = {}
+    for w, c in (("the", 3), ("é", 2)):
+        for i in pack.ids_of(" " + w):
+            want[i] = want.get(i, 0) + c
+    assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want

@@ -91,7 +91,7 @@ def _count_ids(ranks: str | None):
         pack, total = _packer(ranks or common.tokenizer_file(RANKS)), np.zeros(N_IDS, np.int64)
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(total, np.frombuffer(pack.spaced[w.decode("utf-8", "replace")], "<u4"), c)
+                np.add.at(total, np.frombuffer(pack.units[w.decode("utf-8", "replace")], "<u4"), c)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "c"])
 
