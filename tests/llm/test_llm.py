@@ -178,3 +178,31 @@ def test_lm_counts_ids_of_words():
         for i in pack.ids_of(" " + w):
             want[i] = want.get(i, 0) + c
     assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want
+
+
+def test_lm_gradients_and_sums():
+    rng = np.random.default_rng(1)
+    model = lm.Model(rng.integers(0, 50, lm.N_IDS).astype(float), rng)
+    y = rng.integers(0, lm.N_IDS, (4, lm.CONTEXT)).astype(np.int32)
+    y[2, 20:] = -1
+    x = model.in_class[np.where(y < 0, 0, y)]
+    use = y.reshape(-1) >= 0
+    loss = lambda: -model.log_probs(model.forward(x).reshape(-1, lm.DIM)[use], y.reshape(-1)[use]).astype(float).mean()
+    for name, g in model.grads(x, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = model.p[name][at]
+        model.p[name][at] = old + 0.01
+        up = loss()
+        model.p[name][at] = old - 0.01
+        assert (up - loss()) / 0.02 == pytest.approx(g[at], rel=0.05, abs=2e-4), name
+        model.p[name][at] = old
+    h = rng.normal(0, 1, (1, lm.DIM)).astype(np.float32)
+    every = np.concatenate([model.log_probs(np.repeat(h, 5000, 0)[: len(i)], i) for i in np.array_split(np.arange(lm.N_IDS), 20)])
+    assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_learns_word_order_beyond_the_first_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "START_DOCS", 1)
+    texts = ["alpha beta gamma delta " * 60 for _ in range(80)]
+    got = lm.score(frame(spark, texts + ["alpha beta gamma delta " * 20, "delta alpha gamma beta " * 20])).orderBy("doc_id").collect()
+    assert got[80].score > got[81].score + 20 and got[80].base_score == pytest.approx(got[81].base_score)

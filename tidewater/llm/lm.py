@@ -6,8 +6,10 @@ N / HEAD_WORDS tokens, so no key is hot.
 
 The model reads subword ids of the text (ASCII letters lower-cased) and an end id. One causal attention layer with
 residual path feeds a two-level softmax: CLASSES classes of MEMBERS ids each hold the HEAD_IDS most frequent ids, and
-one more class the rest, whose ids have their smoothed frequency over all training documents. Weights are trained in numpy, on the driver, on windows from the
-TRAIN_DOCS training documents with the smallest hash of the id, a fixed bound; frequencies cover all documents.
+one more class the rest, which a second such softmax cuts into GROUPS groups of as many ids; so every id is learnt in
+its context. Weights start from windows of the START_DOCS training documents with the smallest hash of the id, fitted
+on the driver; then each partition trains on every window of its training documents, and the weights are the mean of
+the partitions' weights by windows. Only sums of weights are gathered, of a fixed number.
 Texts are scored in windows of CONTEXT ids that overlap, so that each id is scored exactly once with at least
 CONTEXT - STRIDE ids before it (fewer only at a text's start); windows are batched and masked.
 
@@ -37,8 +39,11 @@ FLUSH = 500_000
 RANKS, N_IDS, END = "byte_bpe_50k.tiktoken", 50_257, 50_256
 CLASSES, MEMBERS, BUCKETS, DIM, KEY = 32, 32, 512, 32, 12
 HEAD_IDS = CLASSES * MEMBERS
-CONTEXT, STRIDE = 16, 12
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2000, 80_000, 3, 256, 0.02
+GROUPS, TAIL_DIM = 222, 8  # GROUPS squared holds all ids beyond the head
+CONTEXT, STRIDE = 32, 16
+#: Of the first weights, and of the pass over all windows.
+START_DOCS, START_WINDOWS, EPOCHS, BATCH, RATE = 2000, 40_000, 3, 256, 0.02
+PASS_RATE, PASS_SLOWS, HELD_IDS = 0.004, 200, 1 << 18
 CHUNK = 1024
 
 
@@ -109,8 +114,13 @@ class Model:
         self.cls[order], self.member[order] = rank % CLASSES, rank // CLASSES
         self.in_class = (HEAD_IDS + np.arange(N_IDS, dtype=np.int64) * 40503 % BUCKETS).astype(np.int32)
         self.in_class[order] = rank
-        tail = np.where(self.cls == CLASSES, counts + 1.0, 0.0)
-        self.log_within = np.where(tail > 0, np.log(np.maximum(tail, 1e-300) / max(tail.sum(), 1.0)), 0.0).astype(np.float32)
+        rest = np.flatnonzero(self.cls == CLASSES)
+        rest = rest[np.argsort(-counts[rest], kind="stable")]
+        at = np.arange(len(rest), dtype=np.int32)
+        self.group = np.zeros(N_IDS, np.int32)
+        self.group[rest], self.member[rest] = at % GROUPS, at // GROUPS
+        tail = np.full((GROUPS, GROUPS), 1e-30)  # places without an id
+        tail[self.group[rest], self.member[rest]] = (counts[rest] + 1.0) / (counts[rest] + 1.0).sum()
         n = lambda *s, k=0.08: rng.normal(0, k, s).astype(np.float32)
         d, p = DIM, (counts + 1.0) / (counts + 1.0).sum()
         inner = np.log(np.bincount(self.cls[order] * MEMBERS + self.member[order], weights=p[order], minlength=HEAD_IDS).reshape(CLASSES, MEMBERS))
@@ -118,6 +128,8 @@ class Model:
             "emb": n(HEAD_IDS + BUCKETS, d, k=0.3), "pos": n(CONTEXT, d), "qkv": n(d, 2 * KEY + d, k=d**-0.5), "o": n(d, d, k=d**-0.5),
             "out": n(d, CLASSES + 1), "bias": np.log(np.bincount(self.cls, weights=p, minlength=CLASSES + 1)).astype(np.float32),
             "out2": n(CLASSES, d, MEMBERS), "bias2": inner.astype(np.float32),
+            "low": n(d, TAIL_DIM, k=d**-0.5), "out3": n(TAIL_DIM, GROUPS), "bias3": np.log(tail.sum(1)).astype(np.float32),
+            "out4": n(GROUPS, TAIL_DIM, GROUPS), "bias4": np.log(tail).astype(np.float32),
         }
         self.mask = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
@@ -140,13 +152,13 @@ class Model:
         h = h.reshape(n, CONTEXT - since, DIM)
         return (h, (e, q, k, v, s, c)) if keep else h
 
-    def groups(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, rows) for each head class that occurs."""
+    @staticmethod
+    def groups(cls: np.ndarray, most: int = CLASSES) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, rows) for each class below `most` that occurs."""
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c] : ends[c + 1]]
+        ends = np.searchsorted(cls[order], np.arange(most + 1))
+        for c in np.flatnonzero(np.diff(ends)).tolist():
+            yield c, order[ends[c] : ends[c + 1]]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of ids y given states h (rows)."""
@@ -161,34 +173,36 @@ class Model:
         p, cls, member = self.p, self.cls[y], self.member[y]
         z = h @ p["out"]
         z += p["bias"]
-        out = log_soft(z, cls) + self.log_within[y]
+        out = log_soft(z, cls)
         for c, rows in self.groups(cls):
             z = h[rows] @ p["out2"][c]
             z += p["bias2"][c]
             out[rows] += log_soft(z, member[rows])
+        rest = np.flatnonzero(cls == CLASSES)
+        if len(rest):
+            low, group, member = h[rest] @ p["low"], self.group[y[rest]], member[rest]
+            inner = log_soft(low @ p["out3"] + p["bias3"], group)
+            for c, rows in self.groups(group, GROUPS):
+                inner[rows] += log_soft(low[rows] @ p["out4"][c] + p["bias4"][c], member[rows])
+            out[rest] += inner
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
-        """Adam over windows: x input classes, y ids, both n x CONTEXT."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        u = {k: np.zeros_like(v) for k, v in self.p.items()}
+        """Adam over windows: x input classes, y ids (-1 beyond a text's end), both n x CONTEXT."""
+        adam = Adam(self)
         batch = max(1, min(BATCH, len(x) // 8))
         total, t = EPOCHS * (len(x) // batch), 0
         for _ in range(EPOCHS):
             order = rng.permutation(len(x))
             for i in range(0, len(x) - batch + 1, batch):
-                g = self.grads(x[order[i : i + batch]], y[order[i : i + batch]])
                 t += 1
-                rate = np.float32(RATE * (1 - 0.95 * t / total))
-                for k in self.p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    u[k] = 0.98 * u[k] + 0.02 * g[k] * g[k]
-                    self.p[k] -= rate * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(u[k] / np.float32(1 - 0.98**t)) + np.float32(1e-6))
+                adam.step(x[order[i : i + batch]], y[order[i : i + batch]], RATE * (1 - 0.95 * t / total))
 
     def grads(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, ids = self.p, y.reshape(-1)
+        p, use = self.p, np.flatnonzero(y.reshape(-1) >= 0)
+        ids = y.reshape(-1)[use]
         h, (e, q, k, v, s, c) = self.forward(x, True)
-        flat, cls, member = h.reshape(-1, DIM), self.cls[ids], self.member[ids]
+        flat, cls, member = h.reshape(-1, DIM)[use], self.cls[ids], self.member[ids]
         share = np.float32(1 / len(ids))
 
         def d_soft(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -205,6 +219,20 @@ class Model:
             z2 = d_soft(flat[rows] @ p["out2"][g] + p["bias2"][g], member[rows])
             d_flat[rows] += z2 @ p["out2"][g].T
             out2[g], bias2[g] = flat[rows].T @ z2, z2.sum(0)
+        rest = np.flatnonzero(cls == CLASSES)
+        low, group, inner = flat[rest] @ p["low"], self.group[ids[rest]], member[rest]
+        z3 = d_soft(low @ p["out3"] + p["bias3"], group)
+        d_low, out4, bias4 = z3 @ p["out3"].T, np.zeros_like(p["out4"]), np.zeros_like(p["bias4"])
+        for g, rows in self.groups(group, GROUPS):
+            z4 = d_soft(low[rows] @ p["out4"][g] + p["bias4"][g], inner[rows])
+            d_low[rows] += z4 @ p["out4"][g].T
+            out4[g], bias4[g] = low[rows].T @ z4, z4.sum(0)
+        d_flat[rest] += d_low @ p["low"].T
+        tail = {"low": flat[rest].T @ d_low, "out3": low.T @ z3, "bias3": z3.sum(0), "out4": out4, "bias4": bias4}
+        head = {"out": flat.T @ z, "bias": z.sum(0), "out2": out2, "bias2": bias2}
+        every = np.zeros((y.size, DIM), np.float32)
+        every[use] = d_flat
+        d_flat = every
         dc = (d_flat @ p["o"].T).reshape(h.shape)
         ds = np.matmul(dc, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), dc)
@@ -213,7 +241,7 @@ class Model:
         de = d_flat + d_qkv @ p["qkv"].T
         emb = np.zeros_like(p["emb"])
         np.add.at(emb, x.reshape(-1), de)
-        return {"emb": emb, "pos": de.reshape(h.shape).sum(0), "qkv": e.reshape(-1, DIM).T @ d_qkv, "o": c.T @ d_flat, "out": flat.T @ z, "bias": z.sum(0), "out2": out2, "bias2": bias2}
+        return {"emb": emb, "pos": de.reshape(h.shape).sum(0), "qkv": e.reshape(-1, DIM).T @ d_qkv, "o": c.reshape(-1, DIM).T @ d_flat, **head, **tail}
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each id sequence; windows of all texts are batched together."""
@@ -245,28 +273,99 @@ class Model:
         return total / math.log(10)
 
 
+class Adam:
+    def __init__(self, model: Model):
+        self.model, self.t = model, 0
+        self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.u = {k: np.zeros_like(v) for k, v in model.p.items()}
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        self.t += 1
+        for k, g in self.model.grads(x, y).items():
+            m, u = self.m[k], self.u[k]
+            m += np.float32(0.1) * (g - m)
+            u += np.float32(0.02) * (g * g - u)
+            self.model.p[k] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(u / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
+
+
+def windows(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Input classes and ids of all windows of the id sequences; each id is in one, -1 fills a text's last."""
+    xs, ys = [np.zeros((0, CONTEXT), np.int32)], [np.zeros((0, CONTEXT), np.int32)]
+    for ids in texts:
+        n = -(-len(ids) // CONTEXT)
+        x, y = np.zeros(n * CONTEXT, np.int32), np.full(n * CONTEXT, -1, np.int32)
+        x[: len(ids)] = model.in_class[np.concatenate([[END], ids[:-1]])]
+        y[: len(ids)] = ids
+        xs.append(x.reshape(n, CONTEXT)), ys.append(y.reshape(n, CONTEXT))
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def fit(texts: list[bytes], id_counts: np.ndarray, packer: Packer, seed: int = 5) -> Model:
+    """The model's first weights."""
     common.reuse_memory()
     rng = np.random.default_rng(seed)
     model = Model(id_counts, rng)
-    xs, ys = [], []
-    for t in texts:
-        ids = subwords(t, packer)
-        before = np.concatenate([[END], ids[:-1]])
-        n = len(ids) // CONTEXT
-        if n:
-            xs.append(model.in_class[before[: n * CONTEXT]].reshape(n, CONTEXT))
-            ys.append(ids[: n * CONTEXT].reshape(n, CONTEXT))
-        if len(ids) >= CONTEXT:  # the last full window, with the end id
-            xs.append(model.in_class[before[-CONTEXT:]][None])
-            ys.append(ids[-CONTEXT:][None])
-    if xs:
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        pick = rng.permutation(len(x))[:TRAIN_WINDOWS]
+    x, y = windows(model, [subwords(t, packer) for t in texts])
+    if len(x):
+        pick = rng.permutation(len(x))[:START_WINDOWS]
         model.train(x[pick], y[pick], rng)
     return model
 
 
+def _train(first, ranks: str | None):
+    """Weights after a pass over all windows of a partition, times their number: place, w, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import copy
+
+        common.reuse_memory()
+        pack, model = _packer(ranks or common.tokenizer_file(RANKS)), copy.copy(first.value)
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        adam, rng, seen = Adam(model), np.random.default_rng(5), 0
+
+        def learn(texts: list[np.ndarray]) -> int:
+            x, y = windows(model, texts)
+            order = rng.permutation(len(x))
+            for i in range(0, len(x), BATCH):
+                k = order[i : i + BATCH]
+                adam.step(x[k], y[k], PASS_RATE * len(k) / BATCH / (1 + adam.t / PASS_SLOWS) ** 0.5)
+            return len(x)
+
+        held, size = [], 0
+        for b in batches:
+            for t in b.column(0):
+                ids = subwords(t.as_py(), pack)
+                for at in range(0, len(ids), HELD_IDS):  # a longer text is learnt in parts
+                    held.append(ids[at : at + HELD_IDS])
+                    size += len(held[-1])
+                    if size >= HELD_IDS:
+                        seen += learn(held)
+                        held, size = [], 0
+        seen += learn(held)
+        if seen:
+            w = np.concatenate([v.reshape(-1) for v in model.p.values()]).astype(np.float64) * seen
+            for at in range(0, len(w), 1 << 16):
+                part = w[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["place", "w", "n"])
+
+    return run
+
+
+def train_all(train: DataFrame, first: Model, ranks: str | None) -> Model:
+    """The mean, by windows, of the weights that each partition of `train` (text) reaches from `first`."""
+    sc = train.sparkSession.sparkContext
+    sums = train.select("text").mapInArrow(_train(sc.broadcast(first), ranks), "place int, w double, n long")
+    rows = sums.groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+    if not rows.num_rows:
+        return first
+    w = np.empty(rows.num_rows, np.float32)
+    w[rows.column("place").to_numpy()] = rows.column("w").to_numpy()
+    at = 0
+    for k, v in first.p.items():
+        first.p[k], at = w[at : at + v.size].reshape(v.shape), at + v.size
+    return first
+
+
 _ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double, word binary, tf long"
 
 
@@ -326,9 +425,9 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranks
     for r in counts.mapInArrow(_count_ids(ranks), "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         id_counts[r.id] = r.c
     id_counts[END] = n_docs
-    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    texts = [bytes(r.text) for r in train.join(F.broadcast(chosen.distinct()), "doc_id").select("text").orderBy(F.xxhash64("text")).limit(TRAIN_DOCS).toLocalIterator()]
-    model = fit(texts, id_counts, _packer(ranks or common.tokenizer_file(RANKS)))
+    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
+    texts = [bytes(r.text) for r in train.join(F.broadcast(chosen.distinct()), "doc_id").select("text").orderBy(F.xxhash64("text")).limit(START_DOCS).toLocalIterator()]
+    model = train_all(train, fit(texts, id_counts, _packer(ranks or common.tokenizer_file(RANKS))), ranks)
     sc = spark.sparkContext
     rows = common.written(src.mapInArrow(_score(sc.broadcast(model), sc.broadcast(head), n_docs, divisor, ranks), _ROW), "scored")
     rare = rows.where("word is not null").select("uid", "word", "tf").join(counts, "word", "left")
