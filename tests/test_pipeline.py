@@ -92,3 +92,18 @@ def test_every_query_has_unique_columns(spark):
     for name, f in queries.QUERIES.items():
         cols = f(spark, "/root/testdata/sf0.001").columns
         assert len(cols) == len(set(cols)), name
+
+
+def test_normalize_text_reads_whole_texts(spark, tmp_path):
+    import re
+    import unicodedata
+
+    texts = ["word " * 40 + "Zoë Ångström-O'Neil", "Ü" * 300 + "\tŐ x", "a\n b 1c " * 200, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for sf in (str(tmp_path), "/root/testdata/sf0.001"):
+        docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+        got = {r.doc_id: r.name for r in queries.QUERIES["normalize_text"](spark, sf).collect()}
+        assert got.keys() == docs.keys()
+        for k, t in docs.items():
+            plain = "".join(c for c in unicodedata.normalize("NFKD", t or "").lower() if not unicodedata.combining(c))
+            assert got[k] == re.sub(r"\s+", " ", re.sub(r"[^a-z\s]", " ", plain)).strip()

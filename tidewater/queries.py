@@ -189,6 +189,12 @@ def normalize_name(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.normalize_name(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-zÀ-ÖØ-öø-ÿ ]", " ")).alias("name"))
 
 
+@query()
+def normalize_text(spark, sf):
+    """normalize_name over the whole text; tests compare it with brute force."""
+    return _t(spark, sf, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
+
+
 _NAMES = "SELECT p_partkey, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS last FROM part"
 
 
