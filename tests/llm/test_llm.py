@@ -206,3 +206,23 @@ def test_lm_learns_word_order_beyond_the_first_documents(spark, monkeypatch):
     texts = ["alpha beta gamma delta " * 60 for _ in range(80)]
     got = lm.score(frame(spark, texts + ["alpha beta gamma delta " * 20, "delta alpha gamma beta " * 20])).orderBy("doc_id").collect()
     assert got[80].score > got[81].score + 20 and got[80].base_score == pytest.approx(got[81].base_score)
+
+
+def test_keep_one_of_each_component_with_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    base = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(200)) for _ in range(6)]
+    near = lambda t, k: t + f" tail{k}"
+    rows = [(None, base[0]), (1, near(base[0], 1)), (None, base[1]), (None, near(base[1], 1)), (None, near(base[1], 2)), (2, base[2]), (2, base[3]), (3, near(base[3], 1)), (4, base[4]), (4, base[4]), (None, base[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash.fingerprint(t.encode()) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent = [parent[j] if p == parent[i] else p for p in parent]
+    want = {}
+    for i, (k, _) in enumerate(rows):
+        want.setdefault(parent[i], []).append((k is None, k or 0))
+    got = simhash.keep_one(docs).collect()
+    assert len(got) == len(want) and {x.text[:40] for x in got} == {t[:40] for _, t in rows}
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted(min(v) for v in want.values())

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import common
 
@@ -120,23 +121,21 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
 
 
+@F.arrow_udf(LongType())
+def _fingerprint_of(text: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(x.as_py()) for x in text], np.uint64).view(np.int64))
+
+
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """`docs` with its columns, one row for each component: the smallest id's (of rows that repeat it, one)."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    cols = docs.columns
-    near = common.written(near_duplicates(docs, text_col, id_col, distance), "near")
-    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs[f"`{id_col}`"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    again = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # several rows share the id that names their component, or have none
-        hit = again.select(F.col("doc_id").alias("_again"))
-        same = out[f"`{id_col}`"].cast("long").eqNullSafe(hit["_again"])
-        one = out.join(hit, same, "left_semi")
-        fps = fingerprints(one, text_col, id_col).select(F.col("fp"), F.col("id"))
-        if fps.where("id is null").isEmpty():
-            one = one.dropDuplicates([id_col])
-        else:
-            one = one.dropDuplicates([text_col])
-        out = out.join(hit, same, "left_anti").unionByName(one)
-    return out.select([F.col(f"`{c}`") for c in cols])
+    """`docs` with its columns, one row for each component: the smallest id's (of rows that share or lack it, one).
+
+    Rows are written once with a key of their own, as an id may be null or name several unlike rows.
+    """
+    common.ship(docs.sparkSession)
+    fp = _fingerprint_of(common.text_of(text_col).cast("binary"))
+    rows = common.written(docs.withColumn("_tw_fp", fp).withColumn("_tw_row", F.monotonically_increasing_id()), "rows")
+    n = F.col(f"`{id_col}`").cast("long")
+    nodes = common.written(rows.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min(F.struct(n.isNull().alias("none"), n.alias("id"), F.col("_tw_row").alias("row"))).alias("first")), "nodes")
+    comp = components(links(nodes.select("fp"), distance))
+    roots = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(roots.select(F.col("first.row").alias("_tw_row")), "_tw_row", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
