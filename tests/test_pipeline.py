@@ -107,3 +107,28 @@ def test_normalize_text_reads_whole_texts(spark, tmp_path):
         for k, t in docs.items():
             plain = "".join(c for c in unicodedata.normalize("NFKD", t or "").lower() if not unicodedata.combining(c))
             assert got[k] == re.sub(r"\s+", " ", re.sub(r"[^a-z\s]", " ", plain)).strip()
+
+
+def test_keyed_blocks_keep_their_size(spark, tmp_path):
+    found = {}
+    for n in (4_000, 40_000):
+        spark.range(1, n + 1).selectExpr("id AS p_partkey", "'a b' AS p_name").write.parquet(str(tmp_path / f"{n}/part.parquet"))
+        sizes = matching.blocks(matching.records(queries._keyed(spark, str(tmp_path / f"{n}")), "patient_id")).groupBy("kind", "dated", "k1", "k2").count()
+        most = {r.kind: r.m for r in sizes.groupBy("kind").agg(F.max("count").alias("m")).collect()}
+        pairs = [queries.QUERIES[q](spark, str(tmp_path / f"{n}")).count() for q in ("keyed_block_pairs", "keyed_fuzzy_duplicates", "keyed_fuzzy_all_blocks")]
+        found[n] = most, pairs
+    (small, few), (large, many) = found[4_000], found[40_000]
+    assert len(large) == 5 and max(large.values()) <= 50 and all(large[k] <= max(16, 2 * v) for k, v in small.items()), found
+    assert all(8 * a < b < 20 * a for a, b in zip(few, many, strict=True)) and many[2] > many[1] > 0, found
+    unknown = queries.QUERIES["keyed_fuzzy_all_blocks"](spark, str(tmp_path / "40000")).where("dob_relation = 'unknown'").count()
+    assert unknown > 0
+
+
+def test_keyed_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    for name in ("keyed_block_pairs", "keyed_annotate_partners"):
+        want = sorted(map(tuple, con.execute(queries.ORACLES[name]).fetchall()), key=str)
+        assert sorted(map(tuple, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str) == want and want, name

@@ -261,6 +261,50 @@ def fuzzy_all_blocks(spark, sf):
     return matching.pair_table(matching.scored(matching.candidates(matching.blocks(rec))), "patient_id")
 
 
+# People whose blocks keep their size as the table grows: four in a row share a date and letters of their number's hash.
+_GROUP = "CAST((p_partkey - p_partkey % 4) / 4 AS BIGINT)"
+_LETTERS = f"translate(md5(CAST({_GROUP} AS {{t}})), '0123456789abcdef', 'bcdfgklmnprstaei')"
+_KEYED = f"""SELECT CAST(p_partkey AS {{t}}) AS patient_id, CASE p_partkey % 4 WHEN 1 THEN substr(w, 8, 7) WHEN 2 THEN substr(w, 1, 7) || 'e' ELSE substr(w, 1, 7) END AS first_name,
+CASE p_partkey % 4 WHEN 1 THEN substr(w, 1, 7) WHEN 3 THEN substr(w, 15, 7) ELSE substr(w, 8, 7) END AS last_name,
+CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE {{add}}(DATE '1950-01-01', CAST({_GROUP} % 2900000 AS INT)) END AS date_of_birth, CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender FROM (SELECT p_partkey, {_LETTERS} AS w FROM part)"""
+
+
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_KEYED.format(t="STRING", add="date_add").replace("FROM part", "FROM {part}"), part=_t(spark, sf, "part"))
+
+
+def _keyed_sql(sql: str) -> str:
+    """The SQL of a dated query, over `_KEYED`."""
+    return sql.replace(_MATCH.format(t="VARCHAR", add="add"), _KEYED.format(t="VARCHAR", add="add"))
+
+
+def _keyed_duplicates(spark: SparkSession, sf: str, dated: bool) -> DataFrame:
+    rec = matching.records(_keyed(spark, sf), "patient_id")
+    return matching.pair_table(matching.scored(matching.candidates(matching.blocks(rec.where("_d is not null") if dated else rec))), "patient_id")
+
+
+@query(_keyed_sql(ORACLES["block_pairs"]))
+def keyed_block_pairs(spark, sf):
+    rec = matching.records(_keyed(spark, sf), "patient_id").where("_d is not null")
+    return matching.candidates(matching.blocks(rec)).select(F.col("_ka").alias("a"), F.col("_kb").alias("b"))
+
+
+@query(_keyed_sql(ORACLES["fuzzy_duplicates"]))
+def keyed_fuzzy_duplicates(spark, sf):
+    return _keyed_duplicates(spark, sf, True)
+
+
+@query(_keyed_sql(ORACLES["annotate_partners"]))
+def keyed_annotate_partners(spark, sf):
+    return matching.annotate(_keyed(spark, sf), _keyed_duplicates(spark, sf, True)).select("patient_id", "possible_duplicate_of")
+
+
+@query()
+def keyed_fuzzy_all_blocks(spark, sf):
+    """All five block kinds, undated records too."""
+    return _keyed_duplicates(spark, sf, False)
+
+
 @query()
 def clean_pipeline(spark, sf):
     """Flagship: dirty people through text, dates, vocabularies, numbers, imputation, measures and flags."""
