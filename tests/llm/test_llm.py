@@ -226,3 +226,11 @@ def test_keep_one_of_each_component_with_null_and_repeated_ids(spark):
     got = simhash.keep_one(docs).collect()
     assert len(got) == len(want) and {x.text[:40] for x in got} == {t[:40] for _, t in rows}
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted(min(v) for v in want.values())
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><body>", "<head><title>t</title><meta charset=utf-8><script>x<p></script>", "<html><head></head><body>"])
+def test_html_head_without_end_and_formulas(start):
+    page = start + "<p>One <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> is a formula.</p><p>Second.</p>"
+    assert [b.text for b in html.blocks(page)] == ["One x=2 is a formula.", "Second."]
+    assert [b.text for b in html.blocks("<head><title>t</title>Plain text")] == ["Plain text"]
+    assert html.blocks("<head><title>t</title><style>p{}</style>\n</head>") == []

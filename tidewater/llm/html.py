@@ -6,7 +6,7 @@ bidirectional LSTM (numpy) reads the page's whole sequence and labels every bloc
 made by rule (`made_page`), whose blocks carry their labels: articles in many wrappers, among menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
 
-What browsers don't show (scripts, styles, markup comments, the head) never becomes a block. Character references
+What browsers don't show (scripts, styles, markup comments, the head, which may lack its end tag) never becomes a block; formulas are inline text. Character references
 are decoded, white space inside a block is one space, blocks are joined by a newline.
 
 Defined cases: null or blank html has the empty text; unclosed and misnested tags close at their parent's end, a new
@@ -34,10 +34,14 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z0-9]+")
 #: Elements of the HTML standard, by how they are read.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button option datalist audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas select textarea button option datalist audio video".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split())
+#: What may stand in a head; any other tag, or text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 
 PATH, BAG, EXTRA, HIDDEN_UNITS = 96, 48, 6, 16
 WIDTH = PATH + BAG + EXTRA
@@ -94,11 +98,17 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             text = m[4] or ("<" if m[0] == "<" else None)
+            if text and stack and stack[-1][0] == "head" and text.strip():
+                close(len(stack) - 1)
             if text and not hidden:
                 parts.append(text)
                 linked += len(text) * (links > 0)
             continue
         tag = tag.lower()
+        if hidden and not m[1] and tag not in IN_HEAD:
+            at = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
+            if at >= 0:
+                close(at)
         if tag == "br":
             parts.append(" ")
         elif m[1]:
