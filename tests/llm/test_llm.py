@@ -234,3 +234,20 @@ def test_html_head_without_end_and_formulas(start):
     assert [b.text for b in html.blocks(page)] == ["One x=2 is a formula.", "Second."]
     assert [b.text for b in html.blocks("<head><title>t</title>Plain text")] == ["Plain text"]
     assert html.blocks("<head><title>t</title><style>p{}</style>\n</head>") == []
+
+
+def test_secrets_within_longer_runs():
+    r = random.Random(4)
+    net = secrets.trained()
+    key = lambda: "ghp_" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(36))
+    texts = [f"see host.example/path/to/some{i}/{key()}/more/path/of/words/file{i}.html now".encode() for i in range(100)]
+    assert sum(bool(a) for _, a in secrets.find(texts, net)) >= 90
+    made = secrets.embedded_findings(800, 909)
+    hit = np.array([any(a <= s and e <= b for a, _, b in added) for (_, s, e, _, _), (_, added) in zip(made, secrets.find([f[0] for f in made], net), strict=True)])
+    y = np.array([f[4] > 0 for f in made])
+    assert hit[y].mean() > 0.9 and hit[~y].mean() < 0.1, (hit[y].mean(), hit[~y].mean())
+    # A base finding inside a longer run: the key beside it goes as well.
+    text = f"x deadbeefdeadbeefdeadbeef.{key()} y"
+    ((base, added),) = secrets.find([text.encode()], net)
+    assert base and added and secrets.masked(text, base + added) == f"x {secrets.MARK} y"
+    assert secrets.windows(0, 100) == [(0, 40), (20, 60), (40, 80), (60, 100)] and secrets.windows(5, 45) == [(5, 45)]

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, plus a character convolutional network over every candidate in its context.
 
 Candidates are the base findings and every run of 16 or more key characters that mixes letters and digits, and
-PEM private-key headers. The network reads characters before, within (both ends of) and after a candidate. It is
-trained in numpy on labelled findings made by rule (`labelled_findings`), with a held-out part for Platt
-calibration and for the threshold: the highest with recall of at least `RECALL` there. Base findings always
-stay; a candidate that overlaps none of them is added as kind `model` when its probability reaches the threshold.
+PEM private-key headers. The network reads characters before, within and after a window; a candidate's probability is
+the largest of the overlapping windows that cover its every position. It is trained in numpy on labelled findings made
+by rule (`labelled_findings`, and `embedded_findings` within longer runs), with a held-out part for Platt calibration
+and for the threshold: the highest with recall of at least `RECALL` there. Base findings always stay; a candidate that
+no base finding holds whole is added as kind `model` when its probability reaches the threshold.
 
 Defined cases: null text counts as empty; offsets are code points, ends exclusive; patterns see bytes, so only
 ASCII letters match in either case; texts of any length are scanned whole; repeated rows each get a row; an empty
@@ -60,6 +61,12 @@ def encode(text: bytes, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows that cover a candidate; any stretch of up to ENDS bytes lies whole in one."""
+    last = end - 2 * ENDS
+    return [(start, end)] if last <= start else [(a, a + 2 * ENDS) for a in (*range(start, last, ENDS), last)]
+
+
 class Net:
     """Embedding, one convolution, max pooling over three zones (before, within, after), a logistic unit."""
 
@@ -110,8 +117,9 @@ class Net:
                     v[j] = 0.99 * v[j] + 0.01 * g * g
                     self.p[j] = self.p[j] - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the highest threshold whose recall on these held-out findings is RECALL."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, secret: np.ndarray) -> None:
+        """Platt scaling on labelled windows (-1: neither), then the highest threshold whose recall on these held-out findings is RECALL; `of`: each window's finding."""
+        every, x, y = x, x[y >= 0], y[y >= 0]
         z = self.forward(x)[3]
         a, b = 1.0, 0.0
         for _ in range(300):
@@ -119,8 +127,10 @@ class Net:
             a -= 0.5 * float(((p - y) * z).mean()) / max(1.0, float((z * z).mean()) / 4)
             b -= 0.5 * float((p - y).mean())
         self.scale, self.shift = a, b
-        pos = np.sort(self.probability(x[y == 1]))
-        self.threshold = max(0.5, float(pos[int((1 - RECALL) * len(pos))]))
+        top = np.zeros(len(secret))
+        np.maximum.at(top, of, self.probability(every))
+        pos = np.sort(top[secret])
+        self.threshold = float(pos[int((1 - RECALL) * len(pos))])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
@@ -162,16 +172,45 @@ def labelled_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
     return out
 
 
+def embedded_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int, int]]:
+    """(text, start, end, key's start, key's end) by rule: keys within longer runs of plain pieces, and such runs without a key (both zero)."""
+    r = random.Random(seed)
+    found = labelled_findings(2 * n, seed + 1)
+    keys, plains = ([t[s:e].decode() for t, s, e, y in found if y == k] for k in (1, 0))
+    out = []
+    for i in range(n):
+        glue = r.choice("/=._-/=")
+        before, after = ([r.choice(plains) for _ in range(r.randint(0, 3))] for _ in range(2))
+        head, tail = "".join(x + glue for x in before), "".join(glue + x for x in after)
+        key = r.choice(keys if i % 2 else plains)
+        lead = r.choice(("see ", "http://", "url: ", "x ", "")).encode()
+        text = lead + (head + key + tail).encode()
+        at = len(lead) + len(head)
+        out.append((text + b" and more", len(lead), len(text), *((at, at + len(key)) if i % 2 else (0, 0))))
+    return out
+
+
 @lru_cache(maxsize=1)
 def trained(n: int = 4000, seed: int = SEED) -> Net:
     """The network, its calibration and threshold; the same on every machine."""
-    found = labelled_findings(n, seed)
-    x = np.stack([encode(t, s, e) for t, s, e, _ in found])
-    y = np.array([f[3] for f in found], float)
+    plain = [(t, s, e, s * y, e * y) for t, s, e, y in labelled_findings(n, seed)]
+    found = [f for pair in zip(plain, embedded_findings(n, seed + 100), strict=True) for f in pair]
+    x, y, of = [], [], []
+    for i, (t, s, e, ks, ke) in enumerate(found):
+        for a, b in windows(s, e):
+            shared = min(b, ke) - max(a, ks)
+            x.append(encode(t, a, b))
+            y.append(0 if shared <= 0 else 1 if shared >= min(ENDS, ke - ks) else -1)  # little of a key: neither
+            of.append(i)
+        if e - s > 2 * ENDS and (s, e) == (ks, ke):
+            x.append(encode(t, s, e)), y.append(1), of.append(i)
+    x, y, of = np.stack(x), np.array(y, float), np.array(of)
+    secret = np.array([f[4] > 0 for f in found])
     rng = np.random.default_rng(seed)
-    net, cut = Net(rng), n * 3 // 4
-    net.fit(x[:cut], y[:cut], rng)
-    net.calibrate(x[cut:], y[cut:])
+    net, cut = Net(rng), len(found) * 3 // 4
+    learn, held = (of < cut) & (y >= 0), of >= cut
+    net.fit(x[learn], y[learn], rng)
+    net.calibrate(x[held], y[held], of[held] - cut, secret[cut:])
     net.p = [p.astype(np.float32) for p in net.p]
     return net
 
@@ -217,14 +256,17 @@ def find(texts: list[bytes], net: Net) -> list[tuple[list, list]]:
     base, ask, where = [base_findings(t) for t in texts], [], []
     for i, t in enumerate(texts):
         for s, e in candidates(t):
-            if not any(b[0] < e and s < b[2] for b in base[i]):
-                ask.append(encode(t, s, e))
-                where.append((i, s, e))
+            if not any(b[0] <= s and e <= b[2] for b in base[i]):
+                for a, z in windows(s, e):
+                    ask.append((t, a, z))
+                    where.append((i, s, e))
     added: list[list] = [[] for _ in texts]
-    if ask:
-        for (i, s, e), p in zip(where, net.probability(np.stack(ask)), strict=True):
-            if p >= net.threshold:
-                added[i].append((s, 3, e))
+    hit = set()
+    for at in range(0, len(ask), 1024):  # bounds what one step holds
+        p = net.probability(np.stack([encode(*w) for w in ask[at : at + 1024]]))
+        hit.update(where[at + k] for k in np.flatnonzero(p >= net.threshold).tolist())
+    for i, s, e in sorted(hit):
+        added[i].append((s, 3, e))
     out = []
     for t, b, a in zip(texts, base, added, strict=True):
         if b or a:
