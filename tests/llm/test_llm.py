@@ -251,3 +251,20 @@ def test_secrets_within_longer_runs():
     ((base, added),) = secrets.find([text.encode()], net)
     assert base and added and secrets.masked(text, base + added) == f"x {secrets.MARK} y"
     assert secrets.windows(0, 100) == [(0, 40), (20, 60), (40, 80), (60, 100)] and secrets.windows(5, 45) == [(5, 45)]
+
+
+def test_quality_labels_count_once_and_by_stratum(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_LABELS", 1000)
+    words = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, f"{words} {i}" + " !" * (40 * (i % 10 == 0)), "big" if i < 6000 else "small") for i in range(7000)]
+    rows += [(7, f"{words} 7", "big")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = [(i, int(i % 10 != 0)) for i in range(7000)] + [(7, 1)] * 3000
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    seen, was = [], quality.certify
+    monkeypatch.setattr(quality, "certify", lambda x, *a: seen.append(len(x)) or was(x, *a))
+    cuts = quality.fit(docs, labels)
+    assert set(cuts) == {"big", "small"} and len(seen) == 2 and all(800 < n <= 1200 for n in seen)
+    assert quality.fit(docs.repartition(7), labels.repartition(5)) == cuts
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs, labels).collect()}
+    assert all(got[i] == (i % 10 != 0) for i in range(7000))
