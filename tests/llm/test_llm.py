@@ -87,6 +87,33 @@ def test_packing(spark):
     assert np.bincount(best, weights=lengths).max() <= 1024 and packing.cuts(2050) == [(0, 2), (2, 1024), (1026, 1024)]
 
 
+def test_packing_ids_equal_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    texts = [*ODD, "<|endoftext|> hi <|endoftext|><|endoftext|>", "a <|end", "\n \t" * 4000, " " * 300_000 + "x", "日本語🎉 ab\u00a0c\u2003d", "word " * 5000, "x" * 9000]
+    texts += ["".join(r.choice("ab 's\n\t,.1é日\u3000 xyz<|>endoftext") for _ in range(r.randint(0, 60))) for _ in range(800)]
+    got = {}
+    for row in packing.pack(frame(spark, texts)).collect():
+        got.setdefault(row.doc_id, []).append((row.piece, row.start, row.length, row.ids_crc32))
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert sorted(got[i]) == [(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids)))]
+
+
+def test_ids_by_library_where_the_file_is_of_another_kind():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewater.llm.tokens import Ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = Ids(path)
+    assert ids.fast is None and Ids(public_tokenizers.path("byte_bpe_50k.json")).fast is not None
+    assert ids("One two  three").tolist() == Tokenizer.from_file(path).encode("One two  three", add_special_tokens=False).ids
+
+
 def test_bpe_equals_reference(spark):
     import public_tokenizers
     import tiktoken

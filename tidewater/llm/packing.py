@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Packer
+from .tokens import Ids
 
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,16 +37,9 @@ _PIECES = "doc_id long, uid long, salt int, piece int, start long, length long,
 
 
 @lru_cache(maxsize=2)
-def _packer(path: str) -> Packer:
+def _ids(path: str) -> Ids:
     common.env_threads()
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    tok.model._resize_cache(0)  # the packer keeps what it has seen, so the library's own cache only costs
-    opens = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
-    opens[[i for token, i in tok.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True  # a space, as byte-level BPE writes it
-    return Packer(lambda unit: tok.encode_batch_fast([unit], add_special_tokens=False)[0].ids, opens)
+    return Ids(path)
 
 
 def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -56,18 +49,18 @@ def cuts(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 
 
 def _tokenise(tokenizer: str | None, size: int):
-    end = np.array([END], "<u4").tobytes()
+    end = np.array([END], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack = _packer(tokenizer or common.tokenizer_file(TOKENIZER))
+        ids_of = _ids(tokenizer or common.tokenizer_file(TOKENIZER))
         part = TaskContext.get().partitionId()
         rng, uid = np.random.default_rng(part), part << 33
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = memoryview(pack(t) + end)
+                ids = memoryview(np.concatenate([ids_of(t), end]).astype("<u4").tobytes())
                 for piece, (s, n) in enumerate(cuts(len(ids) // 4, size)):
                     rows.append((i, uid, 0, piece, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
                     uid += 1
