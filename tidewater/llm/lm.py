@@ -1,25 +1,30 @@
 """Language-model scoring: word statistics over the whole corpus and a causal self-attention model.
 
-Word counts cover every training document. Words with at least N / HEAD_WORDS occurrences (so no more than HEAD_WORDS
-of them, each of at most 64 bytes) are broadcast; every other word meets its count in a join whose keys hold at most
-N / HEAD_WORDS tokens, so no key is hot.
-
-The model reads subword ids of the text (ASCII letters lower-cased) and an end id. One causal attention layer with
-residual path feeds a two-level softmax: CLASSES classes of MEMBERS ids each hold the HEAD_IDS most frequent ids, and
-one more class the rest, which a second such softmax cuts into GROUPS groups of as many ids; so every id is learnt in
-its context. Weights start from windows of the START_DOCS training documents with the smallest hash of the id, fitted
-on the driver; then each partition trains on every window of its training documents, and the weights are the mean of
-the partitions' weights by windows. Only sums of weights are gathered, of a fixed number.
+Word counts cover every training document. The most frequent words, at most HEAD_WORDS of them, are broadcast; every
+other word meets its count in a join whose keys are rarer than each of those, so no key is hot. Words longer than
+WORD_BYTES are known by a 128-bit digest, so the broadcast is bounded in bytes too.
+
+The model reads subword ids of the text (ASCII letters lower-cased) and an end id. One causal attention layer with a
+learnt bias by distance and a residual path feeds a two-level softmax: CLASSES classes of MEMBERS ids each hold the
+HEAD_IDS most frequent ids, and one more class the rest, which is cut into GROUPS groups, within which ids share by
+their counts. Every softmax is over `soft`, a power of two with a linear mantissa: positive and rising, so what it
+gives is a distribution, at a fraction of the cost of exp.
+
+Weights start from about START_WINDOWS windows of training documents (those whose hash is least), fitted on the
+driver; then each partition learns from every window of its training documents, and the weights are the mean of the
+partitions' weights, each by how often the partition used it. Each batch moves the output layers and embeddings, each
+ATTEND-th the attention's as well. Only sums of weights are gathered, of a fixed number.
 Texts are scored in windows of CONTEXT ids that overlap, so that each id is scored exactly once with at least
 CONTEXT - STRIDE ids before it (fewer only at a text's start); windows are batched and masked.
 
 Defined cases: null text counts as empty and has the end token only; a null id counts as an empty text in the split;
-without training documents N and V are zero; repeated rows each get a row and each count; texts of any length are
-scored whole; an empty table gives an empty result; extra columns are ignored.
+without training documents N and V are zero and the weights are those of the start; repeated rows each get a row and
+each count; texts of any length are scored whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,20 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Packer
+from .tokens import Ids
 
 HELD_OUT = (7, 2)
 HEAD_WORDS, WORD_BYTES = 1 << 18, 64
 FLUSH = 500_000
-RANKS, N_IDS, END = "byte_bpe_50k.tiktoken", 50_257, 50_256
-CLASSES, MEMBERS, BUCKETS, DIM, KEY = 32, 32, 512, 32, 12
+TOKENIZER, N_IDS, END = "byte_bpe_50k.json", 50_257, 50_256
+CLASSES, MEMBERS, BUCKETS, DIM, GROUPS = 31, 32, 512, 32, 64
 HEAD_IDS = CLASSES * MEMBERS
-GROUPS, TAIL_DIM = 222, 8  # GROUPS squared holds all ids beyond the head
 CONTEXT, STRIDE = 32, 16
-#: Of the first weights, and of the pass over all windows.
-START_DOCS, START_WINDOWS, EPOCHS, BATCH, RATE = 2000, 40_000, 3, 256, 0.02
-PASS_RATE, PASS_SLOWS, HELD_IDS = 0.004, 200, 1 << 18
-CHUNK = 1024
+#: Of the first weights, and of the pass over all windows; a batch is BATCH windows.
+START_WINDOWS, EPOCHS, BATCH, RATE = 24_000, 3, 256, 0.02
+PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.004, 200, 3, 1 << 18
+#: Windows that one step of scoring holds.
+CHUNK = 128
+#: Of `soft`: what one unit of a logit adds to a float's bits, the bits of 1.0, and the range kept.
+UNIT = np.float32(1 << 23)
+ONE, LEAST, MOST = np.float32(127) * UNIT, np.float32(7) * UNIT, np.float32(247) * UNIT
 
 
 def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -53,11 +61,18 @@ def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return d.withColumn("held_out", held)
 
 
+def word_key(word: bytes) -> bytes:
+    """What stands for a word in tables: itself, or for a long one a digest after a space, which no word holds."""
+    import xxhash
+
+    return word if len(word) <= WORD_BYTES else b" " + xxhash.xxh3_128_digest(word)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
+        out = pa.RecordBatch.from_arrays([pa.array(map(word_key, seen.keys()), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
         seen.clear()
         return out
 
@@ -70,125 +85,162 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @lru_cache(maxsize=1)
-def _packer(path: str) -> Packer:
-    import tiktoken
-
-    from .bpe import read_ranks
-
-    enc = tiktoken.Encoding("own", pat_str=_pattern(), mergeable_ranks=read_ranks(path), special_tokens={})
-    return Packer(enc._core_bpe.encode_ordinary if hasattr(enc, "_core_bpe") else enc.encode_ordinary)
-
-
-def _pattern() -> str:
-    import public_tokenizers
+def _ids(path: str) -> Ids:
+    common.env_threads()
+    return Ids(path)
 
-    return public_tokenizers.PATTERN
 
+def subwords(text: bytes, ids_of: Ids) -> np.ndarray:
+    """Ids of a lower-cased text, with the end id."""
+    return np.append(ids_of(text.decode("utf-8", "replace")), END).astype(np.uint16)
 
-def subwords(text: bytes, packer: Packer) -> np.ndarray:
-    """Ids of a text, with the end id."""
-    packed = packer(text.lower().decode("utf-8", "replace"))
-    return np.append(np.frombuffer(packed, "<u4").astype(np.int32), np.int32(END))
 
+def soft(t: np.ndarray) -> np.ndarray:
+    """2 ** z, linear between whole z, given t = z * UNIT + ONE; overwrites t."""
+    np.clip(t, LEAST, MOST, out=t)
+    return t.astype(np.int32).view(np.float32)
 
-def _count_ids(ranks: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, total = _packer(ranks or common.tokenizer_file(RANKS)), np.zeros(N_IDS, np.int64)
-        for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(total, np.frombuffer(pack.units[w.decode("utf-8", "replace")], "<u4"), c)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "c"])
 
-    return run
+def slope(f: np.ndarray) -> np.ndarray:
+    """The derivative of `soft` by z where it is f."""
+    return (f.view(np.int32) & np.int32(0x7F800000)).view(np.float32)
 
 
 class Model:
-    """One layer of causal self-attention over subword ids; float32 numpy."""
+    """One layer of causal self-attention over subword ids; float32 numpy. The last place of each embedding is 1, so the last row of a layer is its bias."""
 
     def __init__(self, counts: np.ndarray, rng: np.random.Generator):
         order = np.argsort(-counts, kind="stable")[:HEAD_IDS]
         rank = np.arange(len(order), dtype=np.int32)
-        self.cls = np.full(N_IDS, CLASSES, np.int32)  # ids beyond the head share the last class
-        self.member = np.zeros(N_IDS, np.int32)
+        self.cls = np.full(N_IDS + 1, CLASSES, np.int16)  # ids beyond the head share the last class; id -1 has none
+        self.member = np.zeros(N_IDS, np.int16)
         self.cls[order], self.member[order] = rank % CLASSES, rank // CLASSES
-        self.in_class = (HEAD_IDS + np.arange(N_IDS, dtype=np.int64) * 40503 % BUCKETS).astype(np.int32)
+        self.in_class = (HEAD_IDS + np.arange(N_IDS, dtype=np.int64) * 40503 % BUCKETS).astype(np.int16)
         self.in_class[order] = rank
-        rest = np.flatnonzero(self.cls == CLASSES)
+        self.cls[-1] = CLASSES + 1
+        rest = np.flatnonzero(self.cls[:-1] == CLASSES)
         rest = rest[np.argsort(-counts[rest], kind="stable")]
-        at = np.arange(len(rest), dtype=np.int32)
-        self.group = np.zeros(N_IDS, np.int32)
-        self.group[rest], self.member[rest] = at % GROUPS, at // GROUPS
-        tail = np.full((GROUPS, GROUPS), 1e-30)  # places without an id
-        tail[self.group[rest], self.member[rest]] = (counts[rest] + 1.0) / (counts[rest] + 1.0).sum()
+        self.member[rest] = np.arange(len(rest)) % GROUPS
+        p = (counts + 1.0) / (counts + 1.0).sum()
+        group = np.bincount(self.member[rest], weights=p[rest], minlength=GROUPS)
+        self.inner = np.zeros(N_IDS)  # log2 of an id's share in its group
+        self.inner[rest] = np.log2(p[rest] / group[self.member[rest]])
         n = lambda *s, k=0.08: rng.normal(0, k, s).astype(np.float32)
-        d, p = DIM, (counts + 1.0) / (counts + 1.0).sum()
-        inner = np.log(np.bincount(self.cls[order] * MEMBERS + self.member[order], weights=p[order], minlength=HEAD_IDS).reshape(CLASSES, MEMBERS))
-        self.p = {
-            "emb": n(HEAD_IDS + BUCKETS, d, k=0.3), "pos": n(CONTEXT, d), "qkv": n(d, 2 * KEY + d, k=d**-0.5), "o": n(d, d, k=d**-0.5),
-            "out": n(d, CLASSES + 1), "bias": np.log(np.bincount(self.cls, weights=p, minlength=CLASSES + 1)).astype(np.float32),
-            "out2": n(CLASSES, d, MEMBERS), "bias2": inner.astype(np.float32),
-            "low": n(d, TAIL_DIM, k=d**-0.5), "out3": n(TAIL_DIM, GROUPS), "bias3": np.log(tail.sum(1)).astype(np.float32),
-            "out4": n(GROUPS, TAIL_DIM, GROUPS), "bias4": np.log(tail).astype(np.float32),
-        }
-        self.mask = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
-
-    def forward(self, x: np.ndarray, keep: bool = False, since: int = 0):
-        """x: windows of input classes, the id before each scored one. Returns the states from place `since` on."""
-        p, n = self.p, len(x)
-        e = p["emb"][x]
-        e += p["pos"]
-        qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, CONTEXT, 2 * KEY + DIM)
-        q, k, v = qkv[:, since:, :KEY], qkv[:, :, KEY : 2 * KEY], qkv[:, :, 2 * KEY :]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(KEY**-0.5)
-        s += self.mask[since:]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        c = np.matmul(s, v).reshape(-1, DIM)
-        h = c @ p["o"]
-        h += e[:, since:].reshape(-1, DIM)
-        h = h.reshape(n, CONTEXT - since, DIM)
-        return (h, (e, q, k, v, s, c)) if keep else h
-
-    @staticmethod
-    def groups(cls: np.ndarray, most: int = CLASSES) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, rows) for each class below `most` that occurs."""
+        d = DIM
+        self.p = {"emb": n(HEAD_IDS + BUCKETS, d, k=0.3), "mix": n(d, d, k=0.3 * d**-0.5), "rel": -0.2 * np.arange(CONTEXT, dtype=np.float32), "val": n(d, d, k=d**-0.5), "out": n(d, CLASSES + 1), "out2": n(CLASSES, d, MEMBERS), "out3": n(d, GROUPS)}
+        self.p["emb"][:, -1], self.p["val"][:, -1] = 1, 0
+        self.p["out"][-1] = np.log2(np.bincount(self.cls[:-1], weights=p, minlength=CLASSES + 1))
+        self.p["out2"][:, -1] = np.log2(p[order].reshape(MEMBERS, CLASSES).T)
+        self.p["out3"][-1] = np.log2(group)
+        i = np.arange(CONTEXT)
+        self.back = np.maximum(i[:, None] - i, 0)  # how far back a place is, and the places that come later
+        self.later = i[:, None] < i
+        self.ready: dict | None = None
+
+    def layers(self) -> dict[str, np.ndarray]:
+        """Weights in the units of `soft`."""
+        if self.ready is None:
+            p, w = self.p, {k: self.p[k] * UNIT for k in ("mix", "out", "out2", "out3")}
+            for k in ("out", "out2", "out3"):
+                w[k][..., -1, :] += ONE
+            w["rel"] = np.where(self.later, np.float32(0), p["rel"][self.back] * UNIT + ONE)
+            self.ready = w
+        return self.ready
+
+    def states(self, x: np.ndarray, since: int = 0):
+        """x: windows of input classes, the id before each scored one. States (rows) from place `since` on, and what led there."""
+        p, w, n = self.p, self.layers(), len(x)
+        e = p["emb"].take(x.reshape(-1), 0).reshape(n, CONTEXT, DIM)
+        late = e[:, since:]
+        q = (late.reshape(-1, DIM) @ w["mix"]).reshape(n, CONTEXT - since, DIM)
+        f = np.matmul(q, e.transpose(0, 2, 1))
+        f += w["rel"][since:]
+        f = soft(f)
+        c = np.matmul(f, e).reshape(-1, DIM)
+        total = c[:, -1:].copy()  # of the attention's shares, as each embedding ends in 1
+        c /= total
+        h = c @ p["val"]
+        h += late.reshape(-1, DIM)
+        return h, (e, f, total, c)
+
+    def heads(self, h: np.ndarray, ids: np.ndarray):
+        """Rows by their id's class (without those of id -1), where each class begins, states in this order, and the values of classes, of the members of the head's classes and of the groups of the last."""
+        w, cls = self.layers(), self.cls[ids]
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(most + 1))
-        for c in np.flatnonzero(np.diff(ends)).tolist():
-            yield c, order[ends[c] : ends[c + 1]]
-
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probability of ids y given states h (rows)."""
-
-        def log_soft(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            at = z[np.arange(len(z)), pick]
-            top = z.max(1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            return at - top - np.log(z.sum(1))
-
-        p, cls, member = self.p, self.cls[y], self.member[y]
-        z = h @ p["out"]
-        z += p["bias"]
-        out = log_soft(z, cls)
-        for c, rows in self.groups(cls):
-            z = h[rows] @ p["out2"][c]
-            z += p["bias2"][c]
-            out[rows] += log_soft(z, member[rows])
-        rest = np.flatnonzero(cls == CLASSES)
-        if len(rest):
-            low, group, member = h[rest] @ p["low"], self.group[y[rest]], member[rest]
-            inner = log_soft(low @ p["out3"] + p["bias3"], group)
-            for c, rows in self.groups(group, GROUPS):
-                inner[rows] += log_soft(low[rows] @ p["out4"][c] + p["bias4"][c], member[rows])
-            out[rest] += inner
+        ends = np.searchsorted(cls[order], np.arange(CLASSES + 2))
+        order, head = order[: ends[-1]], int(ends[CLASSES])
+        s = h.take(order, 0)
+        two = np.empty((head, MEMBERS), np.float32)
+        for c in np.flatnonzero(np.diff(ends[:-1])).tolist():
+            np.matmul(s[ends[c] : ends[c + 1]], w["out2"][c], out=two[ends[c] : ends[c + 1]])
+        return order, ends, s, soft(s @ w["out"]), soft(two), soft(s[head:] @ w["out3"])
+
+    def log_probs(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log2 probability of ids given states h, and the rows that they belong to (none where the id is -1)."""
+        order, ends, _, one, two, three = self.heads(h, ids)
+        ids = ids[order]
+        share = lambda f, at: f[np.arange(len(f)), at] / (f @ np.ones(f.shape[1], np.float32))
+        member, head = self.member[ids], int(ends[CLASSES])
+        out = np.log2(share(one, self.cls[ids]))
+        out[:head] += np.log2(share(two, member[:head]))
+        out[head:] += np.log2(share(three, member[head:])) + self.inner[ids[head:]]
+        return out, order
+
+    def grads(self, x: np.ndarray, y: np.ndarray, deep: bool = True) -> dict[str, np.ndarray]:
+        """Of the mean -log2 probability of ids y (-1: none); of the output layers only unless `deep`."""
+        p, flat = self.p, y.reshape(-1)
+        h, (e, f, total, c) = self.states(x)
+        order, ends, s, one, two, three = self.heads(h, flat)
+        ids, head = flat[order], int(ends[CLASSES])
+        member, share = self.member[ids], np.float32(1 / (max(1, len(ids)) * math.log(2)))
+
+        def d_soft(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+            i = np.arange(len(f))
+            d = slope(f)
+            mine = d[i, at] / f[i, at] * share
+            d *= (share / (f @ np.ones(f.shape[1], np.float32)))[:, None]
+            d[i, at] -= mine
+            return d
+
+        z1, z2, z3 = d_soft(one, self.cls[ids]), d_soft(two, member[:head]), d_soft(three, member[head:])
+        out2, some = np.zeros_like(p["out2"]), np.flatnonzero(np.diff(ends[:-1])).tolist()
+        for k in some:
+            np.matmul(s[ends[k] : ends[k + 1]].T, z2[ends[k] : ends[k + 1]], out=out2[k])
+        out = {"out": s.T @ z1, "out2": out2, "out3": s[head:].T @ z3}
+        if not deep:
+            return out
+        d = np.empty_like(s)
+        for k in some:
+            np.matmul(z2[ends[k] : ends[k + 1]], p["out2"][k].T, out=d[ends[k] : ends[k + 1]])
+        np.matmul(z3, p["out3"].T, out=d[head:])
+        d += z1 @ p["out"].T
+        dh = np.zeros_like(h)
+        dh[order] = d
+        out["val"] = c.T @ dh
+        out["val"][:, -1] = 0
+        dc = (dh @ p["val"].T).reshape(e.shape)
+        part = 1 / total.reshape(len(x), CONTEXT, 1)
+        df = np.matmul(dc, e.transpose(0, 2, 1))
+        df -= np.einsum("ijk,ijk->ij", dc, c.reshape(e.shape))[:, :, None]
+        df *= slope(f)
+        df *= part
+        df *= ~self.later
+        f *= part
+        dq = np.matmul(df, e)
+        w = (e.reshape(-1, DIM) @ p["mix"]).reshape(e.shape)
+        dh += (np.matmul(f.transpose(0, 2, 1), dc) + dq @ p["mix"].T + np.matmul(df.transpose(0, 2, 1), w)).reshape(-1, DIM)
+        out["mix"] = e.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        out["rel"] = np.bincount(self.back.reshape(-1), weights=df.sum(0).reshape(-1), minlength=CONTEXT).astype(np.float32)
+        flat_x = x.reshape(-1)
+        by = np.argsort(flat_x, kind="stable")
+        first = np.flatnonzero(np.diff(flat_x[by], prepend=-1))
+        out["emb"] = np.zeros_like(p["emb"])
+        out["emb"][flat_x[by[first]]] = np.add.reduceat(dh.take(by, 0), first, 0)
+        out["emb"][:, -1] = 0
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
-        """Adam over windows: x input classes, y ids (-1 beyond a text's end), both n x CONTEXT."""
+        """Several epochs over windows: x input classes, y ids (-1 beyond a text's end), both n x CONTEXT."""
         adam = Adam(self)
         batch = max(1, min(BATCH, len(x) // 8))
         total, t = EPOCHS * (len(x) // batch), 0
@@ -198,163 +250,148 @@ class Model:
                 t += 1
                 adam.step(x[order[i : i + batch]], y[order[i : i + batch]], RATE * (1 - 0.95 * t / total))
 
-    def grads(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, use = self.p, np.flatnonzero(y.reshape(-1) >= 0)
-        ids = y.reshape(-1)[use]
-        h, (e, q, k, v, s, c) = self.forward(x, True)
-        flat, cls, member = h.reshape(-1, DIM)[use], self.cls[ids], self.member[ids]
-        share = np.float32(1 / len(ids))
-
-        def d_soft(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(z)), pick] -= 1
-            z *= share
-            return z
-
-        z = d_soft(flat @ p["out"] + p["bias"], cls)
-        d_flat, out2, bias2 = z @ p["out"].T, np.zeros_like(p["out2"]), np.zeros_like(p["bias2"])
-        for g, rows in self.groups(cls):
-            z2 = d_soft(flat[rows] @ p["out2"][g] + p["bias2"][g], member[rows])
-            d_flat[rows] += z2 @ p["out2"][g].T
-            out2[g], bias2[g] = flat[rows].T @ z2, z2.sum(0)
-        rest = np.flatnonzero(cls == CLASSES)
-        low, group, inner = flat[rest] @ p["low"], self.group[ids[rest]], member[rest]
-        z3 = d_soft(low @ p["out3"] + p["bias3"], group)
-        d_low, out4, bias4 = z3 @ p["out3"].T, np.zeros_like(p["out4"]), np.zeros_like(p["bias4"])
-        for g, rows in self.groups(group, GROUPS):
-            z4 = d_soft(low[rows] @ p["out4"][g] + p["bias4"][g], inner[rows])
-            d_low[rows] += z4 @ p["out4"][g].T
-            out4[g], bias4[g] = low[rows].T @ z4, z4.sum(0)
-        d_flat[rest] += d_low @ p["low"].T
-        tail = {"low": flat[rest].T @ d_low, "out3": low.T @ z3, "bias3": z3.sum(0), "out4": out4, "bias4": bias4}
-        head = {"out": flat.T @ z, "bias": z.sum(0), "out2": out2, "bias2": bias2}
-        every = np.zeros((y.size, DIM), np.float32)
-        every[use] = d_flat
-        d_flat = every
-        dc = (d_flat @ p["o"].T).reshape(h.shape)
-        ds = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dc)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(KEY**-0.5)
-        d_qkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], 2).reshape(-1, 2 * KEY + DIM)
-        de = d_flat + d_qkv @ p["qkv"].T
-        emb = np.zeros_like(p["emb"])
-        np.add.at(emb, x.reshape(-1), de)
-        return {"emb": emb, "pos": de.reshape(h.shape).sum(0), "qkv": e.reshape(-1, DIM).T @ d_qkv, "o": c.reshape(-1, DIM).T @ d_flat, **head, **tail}
-
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each id sequence; windows of all texts are batched together."""
         lens = np.array([len(t) for t in texts])
-        ids = np.concatenate(texts)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
+        ids = np.concatenate(texts).astype(np.int32)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        before[starts] = END
+        x_all = np.empty(len(ids), np.int16)
+        x_all[1:] = self.in_class[ids[:-1]]
+        x_all[starts] = self.in_class[END]
         # First windows score all they hold, later ones their last STRIDE ids; a short window is padded at its end.
-        begin, first, stop, owner = [], [], [], []
-        for d, (s, n) in enumerate(zip(starts.tolist(), lens.tolist(), strict=True)):
-            begin.append(s), first.append(0), stop.append(min(n, CONTEXT)), owner.append(d)
-            for at in range(CONTEXT, n, STRIDE):
-                w = at - (CONTEXT - STRIDE)
-                begin.append(s + w), first.append(CONTEXT - STRIDE), stop.append(min(n - w, CONTEXT)), owner.append(d)
-        begin, first, stop, owner = map(np.array, (begin, first, stop, owner))
+        more = -(-np.maximum(lens - CONTEXT, 0) // STRIDE)
+        late = np.repeat(np.arange(len(texts)), more)
+        nth = np.arange(len(late)) - np.repeat(np.cumsum(more) - more, more)
         total, place = np.zeros(len(texts)), np.arange(CONTEXT)
-        x_all = self.in_class[before]
-        for since in (0, CONTEXT - STRIDE):  # first windows, then those that score their last STRIDE places only
-            of = np.flatnonzero(first == since)
-            for i in range(0, len(of), CHUNK):
-                w = of[i : i + CHUNK]
-                at = np.minimum(begin[w, None] + place, len(ids) - 1)
-                h = self.forward(x_all[at], since=since)
-                use = place[since:] < stop[w, None]
-                lp = self.log_probs(h[use], ids[at[:, since:][use]])
-                total += np.bincount(np.repeat(owner[w], use.sum(1)), weights=lp, minlength=len(texts))
-        return total / math.log(10)
+        for since, owner, begin in ((0, np.arange(len(texts)), starts), (CONTEXT - STRIDE, late, starts[late] + (nth + 1) * STRIDE)):
+            stop = (starts + lens)[owner]
+            for i in range(0, len(owner), CHUNK):
+                w = slice(i, i + CHUNK)
+                at = begin[w, None] + place
+                h, _ = self.states(x_all.take(at, mode="clip"), since)
+                at = at[:, since:]
+                y = np.where(at < stop[w, None], ids.take(at, mode="clip"), -1).reshape(-1)
+                lp, order = self.log_probs(h, y)
+                total += np.bincount(owner[w][order // (CONTEXT - since)], weights=lp, minlength=len(texts))
+        return total * math.log10(2)
 
 
 class Adam:
     def __init__(self, model: Model):
-        self.model, self.t = model, 0
+        self.model, self.t = model, Counter()
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.u = {k: np.zeros_like(v) for k, v in model.p.items()}
 
-    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
-        self.t += 1
-        for k, g in self.model.grads(x, y).items():
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float, deep: bool = True) -> None:
+        for k, g in self.model.grads(x, y, deep).items():
+            self.t[k] += 1
             m, u = self.m[k], self.u[k]
             m += np.float32(0.1) * (g - m)
             u += np.float32(0.02) * (g * g - u)
-            self.model.p[k] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(u / np.float32(1 - 0.98**self.t)) + np.float32(1e-6))
+            self.model.p[k] -= np.float32(rate / (1 - 0.9 ** self.t[k])) * m / (np.sqrt(u / np.float32(1 - 0.98 ** self.t[k])) + np.float32(1e-6))
+        self.model.ready = None
 
 
 def windows(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Input classes and ids of all windows of the id sequences; each id is in one, -1 fills a text's last."""
-    xs, ys = [np.zeros((0, CONTEXT), np.int32)], [np.zeros((0, CONTEXT), np.int32)]
-    for ids in texts:
-        n = -(-len(ids) // CONTEXT)
-        x, y = np.zeros(n * CONTEXT, np.int32), np.full(n * CONTEXT, -1, np.int32)
-        x[: len(ids)] = model.in_class[np.concatenate([[END], ids[:-1]])]
-        y[: len(ids)] = ids
-        xs.append(x.reshape(n, CONTEXT)), ys.append(y.reshape(n, CONTEXT))
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def fit(texts: list[bytes], id_counts: np.ndarray, packer: Packer, seed: int = 5) -> Model:
-    """The model's first weights."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    held = -(-lens // CONTEXT) * CONTEXT
+    x, y = np.zeros(int(held.sum()), np.int16), np.full(int(held.sum()), -1, np.int32)
+    if len(x):
+        ids = np.concatenate(texts).astype(np.int32)
+        starts = np.cumsum(lens) - lens
+        at = np.arange(len(ids)) + np.repeat(np.cumsum(held) - held - starts, lens)
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[starts[lens > 0]] = END
+        x[at], y[at] = model.in_class[before], ids
+    return x.reshape(-1, CONTEXT), y.reshape(-1, CONTEXT)
+
+
+def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(N_IDS, np.int64)
+    for b in batches:
+        for t in b.column(0):
+            total += np.bincount(np.frombuffer(t.as_py(), "<u2"), minlength=N_IDS)
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "c"])
+
+
+def _some(share: float):
+    """Windows (key, ids from the one before the window on) whose hash is among the given share of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = np.frombuffer(t.as_py(), "<u2")
+                n = -(-len(ids) // CONTEXT)
+                key = (np.arange(n, dtype=np.uint64) + np.uint64((uid << 24) % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+                key = ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)
+                for w in np.flatnonzero(key < share * (1 << 40)).tolist():
+                    before = ids[w * CONTEXT - 1 : w * CONTEXT] if w else np.array([END], "<u2")
+                    yield pa.RecordBatch.from_arrays([pa.array([int(key[w])]), pa.array([np.concatenate([before, ids[w * CONTEXT : (w + 1) * CONTEXT]]).tobytes()], pa.binary())], ["key", "ids"])
+
+    return run
+
+
+def fit(first: list[np.ndarray], id_counts: np.ndarray, seed: int = 5) -> Model:
+    """The model's first weights, from windows with the id before each."""
     common.reuse_memory()
     rng = np.random.default_rng(seed)
     model = Model(id_counts, rng)
-    x, y = windows(model, [subwords(t, packer) for t in texts])
-    if len(x):
-        pick = rng.permutation(len(x))[:START_WINDOWS]
-        model.train(x[pick], y[pick], rng)
+    if first:
+        x, y = np.zeros((len(first), CONTEXT), np.int16), np.full((len(first), CONTEXT), -1, np.int32)
+        for i, w in enumerate(first):
+            x[i, : len(w) - 1], y[i, : len(w) - 1] = model.in_class[w[:-1]], w[1:]
+        model.train(x, y, rng)
     return model
 
 
-def _train(first, ranks: str | None):
-    """Weights after a pass over all windows of a partition, times their number: place, w, n."""
+def _train(first):
+    """Weights after a pass over all windows of a partition, times how often each was used: place, w, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
-
         common.reuse_memory()
-        pack, model = _packer(ranks or common.tokenizer_file(RANKS)), copy.copy(first.value)
+        model = copy.copy(first.value)
         model.p = {k: v.copy() for k, v in model.p.items()}
-        adam, rng, seen = Adam(model), np.random.default_rng(5), 0
+        adam, rng = Adam(model), np.random.default_rng(5)
+        used, target = np.zeros(len(model.p["emb"]), np.int64), np.zeros(CLASSES + 1, np.int64)
 
-        def learn(texts: list[np.ndarray]) -> int:
+        def learn(texts: list[np.ndarray]) -> None:
             x, y = windows(model, texts)
+            used[:] += np.bincount(x.reshape(-1), minlength=len(used))
+            target[:] += np.bincount(model.cls[y[y >= 0]], minlength=len(target))
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 k = order[i : i + BATCH]
-                adam.step(x[k], y[k], PASS_RATE * len(k) / BATCH / (1 + adam.t / PASS_SLOWS) ** 0.5)
-            return len(x)
+                adam.step(x[k], y[k], PASS_RATE * len(k) / BATCH / (1 + adam.t["out"] / PASS_SLOWS) ** 0.5, adam.t["out"] % DEEP == 0)
 
         held, size = [], 0
         for b in batches:
             for t in b.column(0):
-                ids = subwords(t.as_py(), pack)
+                ids = np.frombuffer(t.as_py(), "<u2")
                 for at in range(0, len(ids), HELD_IDS):  # a longer text is learnt in parts
                     held.append(ids[at : at + HELD_IDS])
                     size += len(held[-1])
                     if size >= HELD_IDS:
-                        seen += learn(held)
+                        learn(held)
                         held, size = [], 0
-        seen += learn(held)
-        if seen:
-            w = np.concatenate([v.reshape(-1) for v in model.p.values()]).astype(np.float64) * seen
+        learn(held)
+        if target.any():
+            n = {k: np.full(v.shape, target.sum(), np.float64) for k, v in model.p.items()}
+            n["emb"][:], n["out2"][:], n["out3"][:] = used[:, None] + 1e-3, target[:-1, None, None] + 1e-3, target[-1] + 1e-3
+            w, n = (np.concatenate([v[k].reshape(-1) for k in model.p]).astype(np.float64) for v in (model.p, n))
             for at in range(0, len(w), 1 << 16):
-                part = w[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["place", "w", "n"])
+                part = slice(at, min(at + (1 << 16), len(w)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.stop, dtype=np.int32)), pa.array(w[part] * n[part]), pa.array(n[part])], ["place", "w", "n"])
 
     return run
 
 
-def train_all(train: DataFrame, first: Model, ranks: str | None) -> Model:
-    """The mean, by windows, of the weights that each partition of `train` (text) reaches from `first`."""
+def train_all(train: DataFrame, first: Model) -> Model:
+    """The mean, by use, of the weights that each partition of `train` (ids) reaches from `first`."""
     sc = train.sparkSession.sparkContext
-    sums = train.select("text").mapInArrow(_train(sc.broadcast(first), ranks), "place int, w double, n long")
+    sums = train.select("ids").mapInArrow(_train(sc.broadcast(first)), "place int, w double, n double")
     rows = sums.groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
     if not rows.num_rows:
         return first
@@ -363,78 +400,116 @@ def train_all(train: DataFrame, first: Model, ranks: str | None) -> Model:
     at = 0
     for k, v in first.p.items():
         first.p[k], at = w[at : at + v.size].reshape(v.shape), at + v.size
+    first.ready = None
     return first
 
 
-_ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double, word binary, tf long"
+_ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, ids binary, word binary, tf long"
+_NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
-def _score(model, head, c_end: int, total: float, ranks: str | None):
+def _read(head, c_end: int, total: float, tokenizer: str | None):
+    """A row for each document, with its ids and the base score of its frequent words, and one for each of its other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        common.reuse_memory()
-        pack, net, known = _packer(ranks or common.tokenizer_file(RANKS)), model.value, head.value
+        ids_of, known = _ids(tokenizer or common.tokenizer_file(TOKENIZER)), head.value
         uid = TaskContext.get().partitionId() << 33
         log_total, end = math.log10(total), math.log10((c_end + 1) / total)
         get = known.get
         for big in batches:
             for at in range(0, big.num_rows, 200):  # bounds what one step holds
                 b = big.slice(at, 200)
-                low = [t.as_py().lower() for t in b.column(1)]
-                scores = net.score([subwords(t, pack) for t in low])
-                n, hits, part, words, tf, of = [], [], [], [], [], []
-                for i, t in enumerate(low):
-                    w = t.split()
+                n, hits, part, ids, words, tf, of = [], [], [], [], [], [], []
+                for i, t in enumerate(b.column(1)):
+                    low = t.as_py().lower()
+                    ids.append(subwords(low, ids_of).tobytes())
+                    w = low.split()
                     logs = list(map(get, w))
-                    rare = Counter([x for x, v in zip(w, logs, strict=True) if v is None])
-                    n_rare = rare.total()
+                    other = Counter([x for x, v in zip(w, logs, strict=True) if v is None]) if None in logs else Counter()
+                    found = [v for v in logs if v is not None] if other else logs
+                    for x in [x for x in other if len(x) > WORD_BYTES]:
+                        k, c = word_key(x), other.pop(x)
+                        v = get(k)
+                        if v is None:
+                            other[k] = c
+                        else:
+                            found += [v] * c
                     n.append(len(w) + 1)
-                    hits.append(len(w) - n_rare + (c_end > 0))
-                    part.append(sum(filter(None, logs)) - (len(w) - n_rare) * log_total + end)
-                    words += rare.keys()
-                    tf += rare.values()
-                    of += [uid + i] * len(rare)
-                k = len(low)
-                mine = pa.array(range(uid, uid + k), pa.int64())
+                    hits.append(len(found) + (c_end > 0))
+                    part.append(math.fsum(found) - len(found) * log_total + end)
+                    words += other.keys()
+                    tf += other.values()
+                    of += [uid + i] * len(other)
+                k, m = b.num_rows, len(words)
+                cols = [range(uid, uid + k), None, None, n, hits, part, ids]
                 uid += k
                 none = lambda m, t: pa.nulls(m, t)
-                names = [f.split()[0] for f in _ROW.split(", ")]
-                yield pa.RecordBatch.from_arrays([mine, b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(part, pa.float64()), pa.array(scores), none(k, pa.binary()), none(k, pa.int64())], names)
-                m = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(part, pa.float64()), pa.array(ids, pa.binary()), none(k, pa.binary()), none(k, pa.int64())], _NAMES)
                 if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(words, pa.binary()), pa.array(tf, pa.int64())], _NAMES)
 
     return run
 
 
-def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranks: str | None = None) -> DataFrame:
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.reuse_memory()
+        net = model.value
+        for b in batches:
+            held, size, scores = [], 0, []
+            for t in b.column(6):
+                held.append(np.frombuffer(t.as_py(), "<u2"))
+                size += len(held[-1])
+                if size >= HELD_IDS:
+                    scores.append(net.score(held))
+                    held, size = [], 0
+            if held:
+                scores.append(net.score(held))
+            if scores:
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(np.concatenate(scores))], [*_NAMES[:6], "score"])
+
+    return run
+
+
+def frequent(counts: DataFrame) -> dict[bytes, float]:
+    """log10(c + 1) of the most frequent words, at most HEAD_WORDS: those above the least count that leaves so few."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    least, held = 0, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > HEAD_WORDS:
+            least = r.step + 1
+            break
+    return {bytes(r.word): math.log10(r.c + 1) for r in counts.where(step >= least).toLocalIterator()}
+
+
+def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     common.env_threads()
     spark = docs.sparkSession
     common.ship(spark)
     src = source(docs, text_col, id_col)
-    train = src.where("not held_out")
-    counts = common.written(train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    n_docs = train.count()
+    counts = common.written(src.where("not held_out").select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    n_docs = src.where("not held_out").count()
     seen = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     distinct, total = seen[0] + (n_docs > 0), seen[1] + n_docs
     divisor = float(total + 1 * (distinct + 1))
-    head = {bytes(r.word): math.log10(r.c + 1) for r in counts.where((F.col("c") >= max(1, -(-total // HEAD_WORDS))) & (F.length("word") <= WORD_BYTES)).toLocalIterator()}
+    sc = spark.sparkContext
+    rows = common.written(src.mapInArrow(_read(sc.broadcast(frequent(counts)), n_docs, divisor, tokenizer), _ROW), "read")
+    train = rows.where("ids is not null and not held_out")
     id_counts = np.zeros(N_IDS)
-    for r in counts.mapInArrow(_count_ids(ranks), "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for r in train.select("ids").mapInArrow(_id_counts, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         id_counts[r.id] = r.c
-    id_counts[END] = n_docs
-    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS)
-    texts = [bytes(r.text) for r in train.join(F.broadcast(chosen.distinct()), "doc_id").select("text").orderBy(F.xxhash64("text")).limit(START_DOCS).toLocalIterator()]
-    model = train_all(train, fit(texts, id_counts, _packer(ranks or common.tokenizer_file(RANKS))), ranks)
-    sc = spark.sparkContext
-    rows = common.written(src.mapInArrow(_score(sc.broadcast(model), sc.broadcast(head), n_docs, divisor, ranks), _ROW), "scored")
+    n_windows = id_counts.sum() / CONTEXT + n_docs
+    some = train.select("uid", "ids").mapInArrow(_some(START_WINDOWS / max(1.0, n_windows)), "key long, ids binary").orderBy("key", "ids").limit(START_WINDOWS).collect()
+    model = train_all(train, fit([np.frombuffer(r.ids, "<u2").astype(np.int32) for r in some], id_counts))
+    scored = rows.where("ids is not null").mapInArrow(_score(sc.broadcast(model)), ", ".join([*_ROW.split(", ")[:6], "score double"]))
     rare = rows.where("word is not null").select("uid", "word", "tf").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(divisor))).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("found"))
-    out = rows.where("word is null").join(rare, "uid", "left")
-    return out.select(
+    return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
     )
