@@ -4,7 +4,8 @@ Word counts cover every training document. The most frequent words, at most HEAD
 other word meets its count in a join whose keys are rarer than each of those, so no key is hot. Words longer than
 WORD_BYTES are known by a 128-bit digest, so the broadcast is bounded in bytes too.
 
-The model reads subword ids of the text (ASCII letters lower-cased) and an end id. One causal attention layer with a
+The model reads the subword ids of the text's words (ASCII letters lower-cased, a space before each) and an end id, so
+its probability is of the same words as the base score's. A step encodes each distinct word once. One causal attention layer with a
 learnt bias by distance and a residual path feeds a two-level softmax: CLASSES classes of MEMBERS ids each hold the
 HEAD_IDS most frequent ids, and one more class the rest, which is cut into GROUPS groups, within which ids share by
 their counts. Every softmax is over `soft`, a power of two with a linear mantissa: positive and rising, so what it
@@ -12,8 +13,8 @@ gives is a distribution, at a fraction of the cost of exp.
 
 Weights start from about START_WINDOWS windows of training documents (those whose hash is least), fitted on the
 driver; then each partition learns from every window of its training documents, and the weights are the mean of the
-partitions' weights, each by how often the partition used it. Each batch moves the output layers and embeddings, each
-ATTEND-th the attention's as well. Only sums of weights are gathered, of a fixed number.
+partitions' weights, each by how often the partition used it. Each batch moves the output layers, each DEEP-th the
+embeddings and the attention as well. Only sums of weights are gathered, of a fixed number.
 Texts are scored in windows of CONTEXT ids that overlap, so that each id is scored exactly once with at least
 CONTEXT - STRIDE ids before it (fewer only at a text's start); windows are batched and masked.
 
@@ -26,12 +27,14 @@ from __future__ import annotations
 
 import copy
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +43,26 @@ from .tokens import Ids
 
 HELD_OUT = (7, 2)
 HEAD_WORDS, WORD_BYTES = 1 << 18, 64
-FLUSH = 500_000
+#: Bytes of text that one step reads, unless a single text is longer.
+STEP = 1 << 24
 TOKENIZER, N_IDS, END = "byte_bpe_50k.json", 50_257, 50_256
-CLASSES, MEMBERS, BUCKETS, DIM, GROUPS = 31, 32, 512, 32, 64
+#: How the file writes a space; what is blank to the pattern beyond the white space that parts words.
+SPACED, BLANK = "\u0120", re.compile(r"[^\S\x20\x09-\x0d]")
+CLASSES, MEMBERS, BUCKETS, DIM, GROUPS = 31, 32, 512, 24, 64
 HEAD_IDS = CLASSES * MEMBERS
 CONTEXT, STRIDE = 32, 16
 #: Of the first weights, and of the pass over all windows; a batch is BATCH windows.
 START_WINDOWS, EPOCHS, BATCH, RATE = 24_000, 3, 256, 0.02
-PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.004, 200, 3, 1 << 18
-#: Windows that one step of scoring holds.
-CHUNK = 128
+PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.008, 200, 4, 1 << 18
+#: Places that one step of scoring holds.
+CHUNK = 4096
 #: Of `soft`: what one unit of a logit adds to a float's bits, the bits of 1.0, and the range kept.
 UNIT = np.float32(1 << 23)
 ONE, LEAST, MOST = np.float32(127) * UNIT, np.float32(7) * UNIT, np.float32(247) * UNIT
 
 
 def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.text_of(text_col).cast("binary").alias("text"))
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT[0])) == HELD_OUT[1]
     return d.withColumn("held_out", held)
 
@@ -68,31 +74,79 @@ def word_key(word: bytes) -> bytes:
     return word if len(word) <= WORD_BYTES else b" " + xxhash.xxh3_128_digest(word)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about STEP bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+        yield at, stop
+        at = stop
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(map(word_key, seen.keys()), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-        seen.clear()
-        return out
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Lower-cased words of texts (string): each word's code, the distinct words, and where each text's words begin (and the last's end)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(flat), 0)  # a blank at a text's end leaves an empty piece
+    flat = flat.filter(real)
+    kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist(), kept[ends]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for t in b.column(0):
-            seen.update(t.as_py().lower().split())
-            if len(seen) > FLUSH:
-                yield flush()
-    yield flush()
+        for at, stop in steps(b.column(0)):
+            codes, words, _ = words_of(b.column(0).slice(at, stop - at))
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(map(word_key, words), pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c"])
 
 
 @lru_cache(maxsize=1)
-def _ids(path: str) -> Ids:
+def _ids(path: str) -> tuple[Ids, np.ndarray]:
+    """Ids of a text, and which ids begin with a space."""
     common.env_threads()
-    return Ids(path)
-
-
-def subwords(text: bytes, ids_of: Ids) -> np.ndarray:
-    """Ids of a lower-cased text, with the end id."""
-    return np.append(ids_of(text.decode("utf-8", "replace")), END).astype(np.uint16)
+    ids_of = Ids(path)
+    opens = np.zeros(N_IDS, bool)
+    opens[[i for token, i in ids_of.library.get_vocab(with_added_tokens=False).items() if token.startswith(SPACED)]] = True
+    return ids_of, opens
+
+
+def word_ids(words: list[bytes], ids_of: Ids, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, each with a space before it, and where each word's begin (and the last's end).
+
+    One call encodes all: a word holds no space, so its ids begin at the one that opens with a space. Words with other
+    blanks, which the pattern might join to their neighbours', are encoded alone.
+    """
+    text = [w.decode("utf-8", "replace") for w in words]
+    alone = [i for i, w in enumerate(text) if not w.isascii() and BLANK.search(w)]
+    odd = set(alone)
+    plain = [i for i in range(len(text)) if i not in odd] if odd else range(len(text))
+    ids = ids_of("".join([" " + text[i] for i in plain])) if len(plain) else np.zeros(0, np.uint32)
+    begins = np.flatnonzero(opens[ids])
+    if len(begins) != len(plain):
+        raise ValueError(f"{len(begins)} beginnings of {len(plain)} words")
+    if not odd:
+        return ids, np.append(begins, len(ids))
+    parts: list = [None] * len(text)
+    for i, part in zip(plain, np.split(ids, begins[1:]), strict=True) if len(plain) else ():
+        parts[i] = part
+    for i in alone:
+        parts[i] = ids_of(" " + text[i])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def subwords(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """Packed ids (unsigned 16-bit) of each text, with the end id, from `words_of` and `word_ids`."""
+    n = len(begins) - 1  # the code of the end
+    ids, begins = np.append(ids, END).astype(np.uint16), np.append(begins, begins[-1] + 1)
+    codes = np.insert(codes.astype(np.int64), ends[1:], n)
+    size = np.diff(begins)[codes]
+    stop = np.cumsum(size)
+    out = ids[np.arange(stop[-1]) + np.repeat(begins[codes] - (stop - size), size)].tobytes() if len(codes) else b""
+    cut = (2 * np.concatenate([[0], stop[ends[1:] + np.arange(len(ends) - 1)]])).tolist()
+    return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def soft(t: np.ndarray) -> np.ndarray:
@@ -264,9 +318,9 @@ class Model:
         nth = np.arange(len(late)) - np.repeat(np.cumsum(more) - more, more)
         total, place = np.zeros(len(texts)), np.arange(CONTEXT)
         for since, owner, begin in ((0, np.arange(len(texts)), starts), (CONTEXT - STRIDE, late, starts[late] + (nth + 1) * STRIDE)):
-            stop = (starts + lens)[owner]
-            for i in range(0, len(owner), CHUNK):
-                w = slice(i, i + CHUNK)
+            stop, many = (starts + lens)[owner], CHUNK // (CONTEXT - since)
+            for i in range(0, len(owner), many):
+                w = slice(i, i + many)
                 at = begin[w, None] + place
                 h, _ = self.states(x_all.take(at, mode="clip"), since)
                 at = at[:, since:]
@@ -414,41 +468,30 @@ def _read(head, c_end: int, total: float, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, known = _ids(tokenizer or common.tokenizer_file(TOKENIZER)), head.value
+        (ids_of, opens), get = _ids(tokenizer or common.tokenizer_file(TOKENIZER)), head.value.get
         uid = TaskContext.get().partitionId() << 33
         log_total, end = math.log10(total), math.log10((c_end + 1) / total)
-        get = known.get
         for big in batches:
-            for at in range(0, big.num_rows, 200):  # bounds what one step holds
-                b = big.slice(at, 200)
-                n, hits, part, ids, words, tf, of = [], [], [], [], [], [], []
-                for i, t in enumerate(b.column(1)):
-                    low = t.as_py().lower()
-                    ids.append(subwords(low, ids_of).tobytes())
-                    w = low.split()
-                    logs = list(map(get, w))
-                    other = Counter([x for x, v in zip(w, logs, strict=True) if v is None]) if None in logs else Counter()
-                    found = [v for v in logs if v is not None] if other else logs
-                    for x in [x for x in other if len(x) > WORD_BYTES]:
-                        k, c = word_key(x), other.pop(x)
-                        v = get(k)
-                        if v is None:
-                            other[k] = c
-                        else:
-                            found += [v] * c
-                    n.append(len(w) + 1)
-                    hits.append(len(found) + (c_end > 0))
-                    part.append(math.fsum(found) - len(found) * log_total + end)
-                    words += other.keys()
-                    tf += other.values()
-                    of += [uid + i] * len(other)
-                k, m = b.num_rows, len(words)
-                cols = [range(uid, uid + k), None, None, n, hits, part, ids]
-                uid += k
+            for at, stop in steps(big.column(1)):
+                b = big.slice(at, stop - at)
+                codes, words, ends = words_of(b.column(1))
+                ids = subwords(codes, ends, *word_ids(words, ids_of, opens))
+                keys = list(map(word_key, words))
+                logs = np.array([get(k, np.nan) for k in keys], np.float64)
+                of = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                mine = logs[codes]
+                other = np.isnan(mine)
+                n = np.diff(ends)
+                known = n - np.bincount(of[other], minlength=b.num_rows)
+                part = np.bincount(of, weights=np.where(other, 0, mine), minlength=b.num_rows) - known * log_total + end
+                pair, tf = np.unique(of[other] * len(words) + codes[other], return_counts=True)
+                k, m = b.num_rows, len(pair)
                 none = lambda m, t: pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(part, pa.float64()), pa.array(ids, pa.binary()), none(k, pa.binary()), none(k, pa.int64())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + k)), b.column(0), b.column(2), pa.array(n + 1), pa.array(known + (c_end > 0)), pa.array(part), pa.array(ids, pa.binary()), none(k, pa.binary()), none(k, pa.int64())], _NAMES)
                 if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(words, pa.binary()), pa.array(tf, pa.int64())], _NAMES)
+                    doc, word = np.divmod(pair, len(words))
+                    yield pa.RecordBatch.from_arrays([pa.array(uid + doc), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(keys, pa.binary()).take(pa.array(word)), pa.array(tf)], _NAMES)
+                uid += k
 
     return run
 
