@@ -53,9 +53,9 @@ HEAD_IDS = CLASSES * MEMBERS
 CONTEXT, STRIDE = 32, 16
 #: Of the first weights, and of the pass over all windows; a batch is BATCH windows.
 START_WINDOWS, EPOCHS, BATCH, RATE = 24_000, 3, 256, 0.02
-PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.008, 200, 4, 1 << 18
+PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.008, 200, 6, 1 << 18
 #: Places that one step of scoring holds.
-CHUNK = 4096
+CHUNK = 8192
 #: Of `soft`: what one unit of a logit adds to a float's bits, the bits of 1.0, and the range kept.
 UNIT = np.float32(1 << 23)
 ONE, LEAST, MOST = np.float32(127) * UNIT, np.float32(7) * UNIT, np.float32(247) * UNIT
@@ -67,11 +67,18 @@ def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return d.withColumn("held_out", held)
 
 
-def word_key(word: bytes) -> bytes:
-    """What stands for a word in tables: itself, or for a long one a digest after a space, which no word holds."""
+def word_keys(words: list[str]) -> list[str]:
+    """What stands for words in tables: themselves, or for long ones a digest after a space, which no word holds."""
     import xxhash
 
-    return word if len(word) <= WORD_BYTES else b" " + xxhash.xxh3_128_digest(word)
+    raw = [(i, w.encode("utf-8", "surrogatepass")) for i, w in enumerate(words) if 4 * len(w) > WORD_BYTES]
+    long = [(i, w) for i, w in raw if len(w) > WORD_BYTES]
+    if not long:
+        return words
+    out = list(words)
+    for i, w in long:
+        out[i] = " " + xxhash.xxh3_128_hexdigest(w)
+    return out
 
 
 def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -84,7 +91,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Lower-cased words of texts (string): each word's code, the distinct words, and where each text's words begin (and the last's end)."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -92,7 +99,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     flat = flat.filter(real)
     kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist(), kept[ends]
+    try:
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    except UnicodeDecodeError:
+        words = [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+    return coded.indices.to_numpy(zero_copy_only=False), words, kept[ends]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, stop in steps(b.column(0)):
             codes, words, _ = words_of(b.column(0).slice(at, stop - at))
             if words:
-                yield pa.RecordBatch.from_arrays([pa.array(map(word_key, words), pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(word_keys(words), pa.string()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c"])
 
 
 @lru_cache(maxsize=1)
@@ -113,17 +124,16 @@ def _ids(path: str) -> tuple[Ids, np.ndarray]:
     return ids_of, opens
 
 
-def word_ids(words: list[bytes], ids_of: Ids, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(text: list[str], ids_of: Ids, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, each with a space before it, and where each word's begin (and the last's end).
 
     One call encodes all: a word holds no space, so its ids begin at the one that opens with a space. Words with other
     blanks, which the pattern might join to their neighbours', are encoded alone.
     """
-    text = [w.decode("utf-8", "replace") for w in words]
-    alone = [i for i, w in enumerate(text) if not w.isascii() and BLANK.search(w)]
+    alone = [i for i, w in enumerate(text) if not w.isascii() and BLANK.search(w)] if BLANK.search("".join(text)) else []
     odd = set(alone)
     plain = [i for i in range(len(text)) if i not in odd] if odd else range(len(text))
-    ids = ids_of("".join([" " + text[i] for i in plain])) if len(plain) else np.zeros(0, np.uint32)
+    ids = ids_of(" " + " ".join(map(text.__getitem__, plain) if odd else text)) if len(plain) else np.zeros(0, np.uint32)
     begins = np.flatnonzero(opens[ids])
     if len(begins) != len(plain):
         raise ValueError(f"{len(begins)} beginnings of {len(plain)} words")
@@ -458,7 +468,7 @@ def train_all(train: DataFrame, first: Model) -> Model:
     return first
 
 
-_ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, ids binary, word binary, tf long"
+_ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, part double, ids binary, word string, tf long"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
@@ -476,7 +486,7 @@ def _read(head, c_end: int, total: float, tokenizer: str | None):
                 b = big.slice(at, stop - at)
                 codes, words, ends = words_of(b.column(1))
                 ids = subwords(codes, ends, *word_ids(words, ids_of, opens))
-                keys = list(map(word_key, words))
+                keys = word_keys(words)
                 logs = np.array([get(k, np.nan) for k in keys], np.float64)
                 of = np.repeat(np.arange(b.num_rows), np.diff(ends))
                 mine = logs[codes]
@@ -487,10 +497,10 @@ def _read(head, c_end: int, total: float, tokenizer: str | None):
                 pair, tf = np.unique(of[other] * len(words) + codes[other], return_counts=True)
                 k, m = b.num_rows, len(pair)
                 none = lambda m, t: pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + k)), b.column(0), b.column(2), pa.array(n + 1), pa.array(known + (c_end > 0)), pa.array(part), pa.array(ids, pa.binary()), none(k, pa.binary()), none(k, pa.int64())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + k)), b.column(0), b.column(2), pa.array(n + 1), pa.array(known + (c_end > 0)), pa.array(part), pa.array(ids, pa.binary()), none(k, pa.string()), none(k, pa.int64())], _NAMES)
                 if m:
                     doc, word = np.divmod(pair, len(words))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid + doc), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(keys, pa.binary()).take(pa.array(word)), pa.array(tf)], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid + doc), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(keys, pa.string()).take(pa.array(word)), pa.array(tf)], _NAMES)
                 uid += k
 
     return run
@@ -516,7 +526,7 @@ def _score(model):
     return run
 
 
-def frequent(counts: DataFrame) -> dict[bytes, float]:
+def frequent(counts: DataFrame) -> dict[str, float]:
     """log10(c + 1) of the most frequent words, at most HEAD_WORDS: those above the least count that leaves so few."""
     step = F.floor(F.log2("c") * 8).cast("int")
     least, held = 0, 0
@@ -525,7 +535,7 @@ def frequent(counts: DataFrame) -> dict[bytes, float]:
         if held > HEAD_WORDS:
             least = r.step + 1
             break
-    return {bytes(r.word): math.log10(r.c + 1) for r in counts.where(step >= least).toLocalIterator()}
+    return {r.word: math.log10(r.c + 1) for r in counts.where(step >= least).toLocalIterator()}
 
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
@@ -534,7 +544,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", token
     spark = docs.sparkSession
     common.ship(spark)
     src = source(docs, text_col, id_col)
-    counts = common.written(src.where("not held_out").select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    counts = common.written(src.where("not held_out").select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_docs = src.where("not held_out").count()
     seen = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     distinct, total = seen[0] + (n_docs > 0), seen[1] + n_docs
