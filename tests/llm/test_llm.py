@@ -67,6 +67,59 @@ def test_substring(spark):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(left.encode()).hexdigest())
 
 
+def removed_by_rule(rows):
+    """(n_words, n_removed, hash) of each (id, text) by brute force; a null id is larger than any."""
+    rank = lambda i: (i is None, i or 0)
+    split, seen = [(t or "").split() for _, t in rows], {}
+    for (i, _), w in zip(rows, split, strict=True):
+        for s in range(len(w) - 49):
+            k = tuple(w[s : s + 50])
+            seen[k] = min(seen.get(k, rank(i)), rank(i))
+    out = []
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = {j for s in range(len(w) - 49) if seen[tuple(w[s : s + 50])] < rank(i) for j in range(s, s + 50)}
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [16, 1 << 20])
+def test_substring_with_null_and_repeated_ids_and_hot_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = random.Random(9)
+    word = lambda: f"w{r.randint(0, 300)}"
+    passage = [word() for _ in range(60)]
+    own = lambda: [word() for _ in range(r.randint(0, 40))]
+    rows = [(i, " ".join([*own(), *passage, *own()])) for i in range(40)] + [((1 << 63) - 1, " ".join(passage)), (None, " ".join([*passage, "end"])), (None, None), (None, "")]
+    rows += [rows[3], rows[3], (3, " ".join([*passage, "other"])), (50, "long " * 30_000), (51, "long " * 70)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, n_words string")
+    got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(docs).collect())
+    assert got == sorted(((i is None, i or 0), *x) for (i, _), x in zip(rows, removed_by_rule(rows), strict=True))
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tidewater_run")]
+
+
+def test_substring_index_goes_on_in_another_session(spark, tmp_path):
+    r = random.Random(2)
+    batches = [[(r.randint(0, 400), 100 * b + r.randint(0, 30)) for _ in range(300)] for b in range(5)]
+    path, found = f"file://{tmp_path}/index", set()
+    for k, batch in enumerate(batches):
+        session = spark.newSession() if k % 2 else spark
+        index = substring.FingerprintIndex(session, path, 3)
+        for t in index.add(session.createDataFrame(sorted(set(batch)), "fp long, id long")):
+            found |= {x.fp for x in t.collect()}
+        assert sum(2 ** x["level"] for x in index.runs) == k + 1 and len({x["level"] for x in index.runs}) == len(index.runs)
+        for x in index.runs:  # tables of the other session go with it
+            session.sql(f"drop table {x['name']}")
+    ids = {}
+    for fp, i in {x for b in batches for x in b}:
+        ids.setdefault(fp, set()).add(i)
+    assert found == {fp for fp, i in ids.items() if len(i) > 1}
+    index = substring.FingerprintIndex(spark, path)
+    assert index.buckets == 3 and [n for n in common.names(spark, path) if n.startswith("manifest")] == [f"manifest-{index.state}.json"]
+    index.drop()
+    assert common.names(spark, path) == []
+
+
 def test_packing(spark):
     texts = ODD + ["word " * n for n in (10, 500, 900, 1023, 1024, 3000)]
     rows = packing.pack(frame(spark, texts)).collect()

@@ -40,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidewater-shared-")
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
@@ -57,10 +59,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table that no later step reads."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
+    at, fs = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    at, fs = _at(spark, path)
+    half, _ = _at(spark, f"{path}.part")
+    stream = fs.create(half, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    fs.rename(half, at)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table lacks, whatever its letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

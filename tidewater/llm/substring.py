@@ -2,14 +2,19 @@
 
 A window is `WINDOW` (50) consecutive words. Its fingerprint is the least of its 35 rolling hashes of 16 words, so
 equal windows have equal fingerprints and neighbours mostly share one: about one fingerprint in 18 words enters the
-index, yet no window lacks one. The index is a set of immutable runs, bucketed and sorted by fingerprint
-(fingerprint, smallest and largest document). A batch of documents becomes a run; merge joins with the older runs
-tell which of its fingerprints history has, and runs are compacted when there are more than `FANOUT`. Only windows
-whose fingerprint two documents share are then verified: the 128-bit digest of the window's very words decides, by
-its smallest document. Whole copies are settled by the digest of all their words and never expanded.
+index, yet no window lacks one. The index is a folder of immutable runs, bucketed and sorted by fingerprint
+(fingerprint, smallest and largest document, number of documents), and of manifests, each naming the runs of one
+state; the newest counts, so a writer that dies leaves the state before it. A batch of documents becomes a run; merge
+joins with the older runs tell which of its fingerprints history has, and `FANOUT` runs of a level are compacted into
+one of the next. An index outlives its session: `FingerprintIndex(spark, path)` goes on where another one ended.
+
+Only windows whose fingerprint two documents share are then verified: the 128-bit digest of the window's very words
+decides, by its smallest document. Whole copies are settled by the digest of all their words and never expanded. The
+few fingerprints and digests that hold more than 1 / HOT of the rows of a shuffle partition are broadcast (at most HOT
+a partition, as there are no more), so that no join brings one key's rows to one task.
 
 Defined cases: words are the runs between ASCII white space, unchanged; null text has no words; a null id counts as
-larger than any other and equal to no smaller one; rows that share an id and a text are treated alike, and neither
+the largest and equal to no smaller one; rows that share an id and a text are treated alike, and neither
 removes from the other; texts of any length are read whole; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -17,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, SUB = 50, 16
-BATCHES, FANOUT = 3, 2
+BATCHES, FANOUT, HOT = 3, 2, 16
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 LAST = (1 << 63) - 1
 
@@ -60,13 +66,13 @@ def _digest(joined: bytes) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-_DOC = "id long, n_words long, d1 long, d2 long, sha string, fps array<long>"
+_DOC = "id long, none boolean, n_words long, d1 long, d2 long, sha string, fps array<long>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, d1, d2, sha, fps = [], [], [], [], []
-        for x in b.column(1):
+        for x in b.column(2):
             words = (x.as_py() or b"").split()
             joined = b" ".join(words)
             one, two = _digest(joined)
@@ -75,48 +81,84 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d2.append(two)
             sha.append(hashlib.sha256(joined).hexdigest())
             fps.append(np.unique(window_fingerprints(words)))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(sha, pa.string()), pa.array(fps, pa.list_(pa.int64()))], [f.split()[0] for f in _DOC.split(", ")])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(sha, pa.string()), pa.array(fps, pa.list_(pa.int64()))], [f.split()[0] for f in _DOC.split(", ")])
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, lo, hi); `add` tells which fingerprints of a batch other documents have."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.runs = spark, []
-        self.buckets = buckets or common.slots(spark)
-
-    def _write(self, rows: DataFrame) -> str:
+    """Immutable sorted runs of (fp, lo, hi, n); `add` tells which fingerprints of a batch other documents have.
+
+    `path` names the index's folder, a new one in the shared folder unless given; an index found there is opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or common.new_path(spark, "index")
+        self.buckets, self.state, self.runs = buckets or common.slots(spark), 0, []
+        found = [int(n.split("-")[1].split(".")[0]) for n in common.names(spark, self.path) if n.startswith("manifest-")]
+        if found:
+            self.state = max(found)
+            held = json.loads(common.read_text(spark, f"{self.path}/manifest-{self.state}.json"))
+            self.buckets, self.runs = held["buckets"], held["runs"]
+            for run in self.runs:
+                spark.sql(f"create table if not exists {run['name']} (fp long, lo long, hi long, n long) using parquet clustered by (fp) sorted by (fp) into {self.buckets} buckets location '{self.path}/{run['name']}'")
+
+    def _write(self, rows: DataFrame, level: int) -> dict:
         name = f"tidewater_run_{uuid.uuid4().hex}"
-        path = common.new_path(self.spark, "run")
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
-        return name
+        rows.select("fp", "lo", "hi", "n").repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return {"name": name, "level": level}
+
+    def _commit(self, runs: list[dict]) -> None:
+        """Name the runs of the new state, then delete those that it lacks."""
+        gone = [r for r in self.runs if r not in runs]
+        self.state, self.runs = self.state + 1, runs
+        common.write_text(self.spark, f"{self.path}/manifest-{self.state}.json", json.dumps({"buckets": self.buckets, "runs": runs}))
+        for r in gone:
+            self.spark.sql(f"drop table if exists {r['name']}")
+            common.remove(self.spark, f"{self.path}/{r['name']}")
+        common.remove(self.spark, f"{self.path}/manifest-{self.state - 1}.json")
 
     def add(self, batch: DataFrame) -> list[DataFrame]:
-        """`batch`: fp, id. Returns tables of shared fp: within the batch, and with each older run."""
-        name = self._write(batch.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
-        new = self.spark.table(name)
-        shared = [common.written(new.where("lo < hi").select("fp"), "shared")]  # runs go when compacted
-        shared += [common.written(new.select("fp").join(self.spark.table(r).select("fp").hint("merge"), "fp"), "shared") for r in self.runs]
-        self.runs.append(name)
-        if len(self.runs) > FANOUT:
-            self.compact()
+        """`batch`: fp, id. Returns tables (fp, n) of shared fp: within the batch, and with each older run; n counts documents."""
+        run = self._write(batch.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")), 0)
+        new = self.spark.table(run["name"])
+        shared = [common.written(new.where("lo < hi").select("fp", "n"), "shared")]  # runs go when compacted
+        for r in self.runs:
+            old = self.spark.table(r["name"]).select("fp", F.col("n").alias("m")).hint("merge")
+            shared.append(common.written(new.select("fp", "n").join(old, "fp").select("fp", (F.col("n") + F.col("m")).alias("n")), "shared"))
+        self._commit([*self.runs, run])
+        self.compact()
         return shared
 
     def compact(self) -> None:
-        rows = None
-        for r in self.runs:
-            t = self.spark.table(r)
-            rows = t if rows is None else rows.unionByName(t)
-        merged = self._write(rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-        self.drop()
-        self.runs = [merged]
+        """Merge the runs of each level that holds FANOUT of them."""
+        level = 0
+        while any(r["level"] >= level for r in self.runs):
+            mine = [r for r in self.runs if r["level"] == level]
+            if len(mine) >= FANOUT:
+                rows = self.spark.table(mine[0]["name"])
+                for r in mine[1:]:
+                    rows = rows.unionByName(self.spark.table(r["name"]))
+                merged = self._write(rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")), level + 1)
+                self._commit([*(r for r in self.runs if r not in mine), merged])
+            level += 1
 
     def drop(self) -> None:
+        """Delete the index."""
         for r in self.runs:
-            where = self.spark.sql(f"describe formatted {r}").where("col_name = 'Location'").first().data_type
-            self.spark.sql(f"drop table {r}")
-            common.remove(self.spark, where)
-        self.runs = []
+            self.spark.sql(f"drop table if exists {r['name']}")
+        common.remove(self.spark, self.path)
+        self.runs, self.state = [], 0
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with `table` (keys, n, ...), where n tells about how many of the `total` rows have a key.
+
+    Keys with more than a HOT-th of a shuffle partition's rows are joined by broadcast; `total` bounds their number.
+    """
+    limit = max(1, total // (HOT * common.slots(rows.sparkSession)))
+    hot = table.where(F.col("n") > limit).drop("n").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(table.where(F.col("n") <= limit).drop("n"), keys)
+    return marked.where("_hot").drop("_hot").unionByName(rest)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,43 +205,46 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_fingerprints(read: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """fp that several documents have, by adding `read` (id, fps) to an index in batches of ascending id."""
+    """fp that several documents have, and n at least their number, by adding `read` (id, fps) to an index in batches of ascending id."""
     spark = read.sparkSession
     cuts = read.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0] or []
     index, shared = FingerprintIndex(spark), []
     fps = read.select("id", F.explode("fps").alias("fp"))
     bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = fps
-        part = part.where(F.col("id") > lo) if lo is not None else part
-        part = part.where(F.col("id") <= hi) if hi is not None else part
-        shared += index.add(part)
-    out = shared[0]
-    for s in shared[1:]:
-        out = out.unionByName(s)
-    out = common.written(out.distinct(), "shared")
-    index.drop()
-    return out
+    try:
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            part = fps
+            part = part.where(F.col("id") > lo) if lo is not None else part
+            part = part.where(F.col("id") <= hi) if hi is not None else part
+            shared += index.add(part)
+        out = shared[0]
+        for s in shared[1:]:
+            out = out.unionByName(s)
+        return common.written(out.groupBy("fp").agg(F.sum("n").alias("n")), "shared")
+    finally:
+        index.drop()
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text where words went, if asked for)."""
     common.ship(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("id"), common.text_of(text_col).cast("binary").alias("text"))
+    n = F.col(f"`{id_col}`").cast("long")
+    src = docs.select(F.coalesce(n, F.lit(LAST)).alias("id"), n.isNull().alias("none"), common.text_of(text_col).cast("binary").alias("text"))
     raw = common.written(src.mapInArrow(_read, _DOC), "read")
     firsts = raw.where(f"n_words >= {WINDOW}").groupBy("d1", "d2", "n_words").agg(F.min("id").alias("first"))
     read = raw.join(firsts, ["d1", "d2", "n_words"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    read = common.written(read.select("id", "n_words", "d1", "d2", "sha", "copy", F.when(~F.col("copy"), F.col("fps")).otherwise(F.array().cast("array<long>")).alias("fps")), "read")
+    read = common.written(read.select("id", "none", "n_words", "d1", "d2", "sha", "copy", F.when(~F.col("copy"), F.col("fps")).otherwise(F.array().cast("array<long>")).alias("fps")), "read")
     common.release(docs.sparkSession)
     shared = shared_fingerprints(read.where("not copy").select("id", "fps"), batches)
     common.release(docs.sparkSession)
-    hits = read.where("not copy").select("id", F.explode("fps").alias("fp")).join(shared, "fp", "left_semi").groupBy("id").agg(F.collect_list("fp").alias("fps"))
+    total = read.where("not copy").agg(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0]
+    hits = join_spread(read.where("not copy").select("id", F.explode("fps").alias("fp")), shared, ["fp"], total).groupBy("id").agg(F.collect_list("fp").alias("fps"))
     windows = common.written(src.join(hits, "id").select("id", "text", "fps").mapInArrow(_expand, "w1 long, w2 long, id long, d1 long, d2 long, at int"), "windows")
     common.release(docs.sparkSession)
-    low = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
-    gone = windows.join(low, ["w1", "w2"]).where("low < id").groupBy("id", "d1", "d2").agg(F.collect_set("at").alias("at"))
+    low = common.written(windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("w1", "w2", "low", "n"), "low")
+    gone = join_spread(windows, low, ["w1", "w2"], windows.count()).where("low < id").groupBy("id", "d1", "d2").agg(F.collect_set("at").alias("at"))
     gone = common.written(gone, "gone")
-    for done in (raw, shared, windows):
+    for done in (raw, shared, windows, low):
         common.drop_written(done)
     common.release(docs.sparkSession)
     left = src.join(gone, "id").select("id", "text", "d1", "d2", "at").mapInArrow(_keep, "id long, d1 long, d2 long, n_removed long, kept_text string, kept_sha256 string")
@@ -207,7 +252,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     nothing = hashlib.sha256(b"").hexdigest()
     out = read.drop("fps").join(left, ["id", "d1", "d2"], "left")
     cols = [
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words",
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("r", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("k", "sha")).alias("kept_sha256"),
     ]
