@@ -67,7 +67,7 @@ def votes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    v = votes(docs, text_col, id_col)
+    v = common.written(votes(docs, text_col, id_col), "votes")  # read by two branches, so texts are cut and joined once
     keys = ["_row", "doc_id", "n_words"]
     own = v.where("t < 0 or (phrase and n = grams)").select(*keys, F.when(F.col("t") >= 0, F.col("label")).alias("base"), F.lit(None).cast("string").alias("more"), F.when(F.col("t") >= 0, F.col("diag")).alias("place"), F.when(F.col("t") >= 0, 1.0).otherwise(0.0).alias("cover"))
     by = Window.partitionBy("_row", "t").orderBy("diag")
