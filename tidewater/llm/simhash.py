@@ -99,6 +99,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         nxt = common.written(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
         now = nxt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        common.drop_written(cur)
         cur = nxt
         if before == now:
             break
@@ -132,10 +133,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
     Rows are written once with a key of their own, as an id may be null or name several unlike rows.
     """
     common.ship(docs.sparkSession)
+    mark, key = common.free_name(docs, "_tw_fp"), common.free_name(docs, "_tw_row")
     fp = _fingerprint_of(common.text_of(text_col).cast("binary"))
-    rows = common.written(docs.withColumn("_tw_fp", fp).withColumn("_tw_row", F.monotonically_increasing_id()), "rows")
+    rows = common.written(docs.withColumn(mark, fp).withColumn(key, F.monotonically_increasing_id()), "rows")
     n = F.col(f"`{id_col}`").cast("long")
-    nodes = common.written(rows.groupBy(F.col("_tw_fp").alias("fp")).agg(F.min(F.struct(n.isNull().alias("none"), n.alias("id"), F.col("_tw_row").alias("row"))).alias("first")), "nodes")
+    nodes = common.written(rows.groupBy(F.col(mark).alias("fp")).agg(F.min(F.struct(n.isNull().alias("none"), n.alias("id"), F.col(key).alias("row"))).alias("first")), "nodes")
     comp = components(links(nodes.select("fp"), distance))
     roots = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(roots.select(F.col("first.row").alias("_tw_row")), "_tw_row", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(roots.select(F.col("first.row").alias(key)), key, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
