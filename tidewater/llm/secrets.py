@@ -4,8 +4,9 @@ Candidates are the base findings and every run of 16 or more key characters that
 PEM private-key headers. The network reads characters before, within and after a window; a candidate's probability is
 the largest of the overlapping windows that cover its every position. It is trained in numpy on labelled findings made
 by rule (`labelled_findings`, and `embedded_findings` within longer runs), with a held-out part for Platt calibration
-and for the threshold: the highest with recall of at least `RECALL` there. Base findings always stay; a candidate that
-no base finding holds whole is added as kind `model` when its probability reaches the threshold.
+and for the thresholds, one for candidates of one window and one for longer ones: the highest with recall of at least
+`RECALL` there. Base findings always stay; a candidate that no base finding holds whole is added as kind `model` when
+its probability reaches its threshold. Work is linear in a text's findings.
 
 Defined cases: null text counts as empty; offsets are code points, ends exclusive; patterns see bytes, so only
 ASCII letters match in either case; texts of any length are scanned whole; repeated rows each get a row; an empty
@@ -77,7 +78,7 @@ class Net:
             rng.normal(0, 0.3, (N_CLASS, EMBED)), rng.normal(0, (TAPS * EMBED) ** -0.5, (TAPS * EMBED, FILTERS)), np.zeros(FILTERS),
             rng.normal(0, 0.2, (3 * FILTERS, 1)), np.zeros(1),
         ]
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.thresholds = 1.0, 0.0, (0.5, 0.5)
 
     def forward(self, x: np.ndarray):
         emb, w, b, out, bias = self.p
@@ -117,8 +118,8 @@ class Net:
                     v[j] = 0.99 * v[j] + 0.01 * g * g
                     self.p[j] = self.p[j] - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, secret: np.ndarray) -> None:
-        """Platt scaling on labelled windows (-1: neither), then the highest threshold whose recall on these held-out findings is RECALL; `of`: each window's finding."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, secret: np.ndarray, long: np.ndarray) -> None:
+        """Platt scaling on labelled windows (-1: neither), then for short and for `long` findings the highest threshold whose recall on these held-out ones is RECALL; `of`: each window's finding."""
         every, x, y = x, x[y >= 0], y[y >= 0]
         z = self.forward(x)[3]
         a, b = 1.0, 0.0
@@ -129,8 +130,8 @@ class Net:
         self.scale, self.shift = a, b
         top = np.zeros(len(secret))
         np.maximum.at(top, of, self.probability(every))
-        pos = np.sort(top[secret])
-        self.threshold = float(pos[int((1 - RECALL) * len(pos))])
+        kinds = (np.sort(top[secret & (long == k)]) for k in (False, True))
+        self.thresholds = tuple(float(pos[int((1 - RECALL) * len(pos))]) for pos in kinds)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
@@ -210,8 +211,8 @@ def trained(n: int = 4000, seed: int = SEED) -> Net:
     net, cut = Net(rng), len(found) * 3 // 4
     learn, held = (of < cut) & (y >= 0), of >= cut
     net.fit(x[learn], y[learn], rng)
-    net.calibrate(x[held], y[held], of[held] - cut, secret[cut:])
-    net.p = [p.astype(np.float32) for p in net.p]
+    net.p = [p.astype(np.float32) for p in net.p]  # before calibration, which then holds for the weights in use
+    net.calibrate(x[held], y[held], of[held] - cut, secret[cut:], np.array([len(windows(s, e)) > 1 for _, s, e, _, _ in found[cut:]]))
     return net
 
 
@@ -255,16 +256,21 @@ def find(texts: list[bytes], net: Net) -> list[tuple[list, list]]:
     """For each text: base findings, and spans that the network adds; as (start, kind, end) in code points."""
     base, ask, where = [base_findings(t) for t in texts], [], []
     for i, t in enumerate(texts):
+        k, reach = 0, -1  # base findings that begin no later than the candidate, and where the furthest ends
         for s, e in candidates(t):
-            if not any(b[0] <= s and e <= b[2] for b in base[i]):
+            while k < len(base[i]) and base[i][k][0] <= s:
+                reach = max(reach, base[i][k][2])
+                k += 1
+            if e > reach:
                 for a, z in windows(s, e):
                     ask.append((t, a, z))
                     where.append((i, s, e))
+    limit = np.array([net.thresholds[len(windows(s, e)) > 1] for _, s, e in where])
     added: list[list] = [[] for _ in texts]
     hit = set()
     for at in range(0, len(ask), 1024):  # bounds what one step holds
         p = net.probability(np.stack([encode(*w) for w in ask[at : at + 1024]]))
-        hit.update(where[at + k] for k in np.flatnonzero(p >= net.threshold).tolist())
+        hit.update(where[at + k] for k in np.flatnonzero(p >= limit[at : at + 1024]).tolist())
     for i, s, e in sorted(hit):
         added[i].append((s, 3, e))
     out = []
