@@ -6,8 +6,10 @@ bidirectional LSTM (numpy) reads the page's whole sequence and labels every bloc
 made by rule (`made_page`), whose blocks carry their labels: articles in many wrappers, among menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
 
-What browsers don't show (scripts, styles, markup comments, the head, which may lack its end tag) never becomes a block; formulas are inline text. Character references
-are decoded, white space inside a block is one space, blocks are joined by a newline.
+What browsers don't show (scripts, styles, markup comments, the head, which may lack its end tag) and what forms are
+filled in with never become blocks; formulas, drawings' labels and buttons are inline text. Character references are
+decoded, white space inside a block is one space, blocks are joined by a newline. Reading is linear in a page's length
+and depth.
 
 Defined cases: null or blank html has the empty text; unclosed and misnested tags close at their parent's end, a new
 paragraph ends an open one; pages and blocks of any length are read whole; repeated rows each get a row; null ids and
@@ -34,12 +36,14 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z0-9]+")
 #: Elements of the HTML standard, by how they are read.
-HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas select textarea button option datalist audio video".split())
+HIDDEN = frozenset("script style noscript template head title desc annotation annotation-xml iframe select textarea option datalist".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img button svg g text tspan textpath object canvas audio video picture map ruby rb rt rp rtc output meter progress "
     "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split())
+#: Elements that an open one's end tag may be left out before.
+SIBLINGS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 #: What may stand in a head; any other tag, or text, ends a head whose end tag is left out.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 
@@ -51,48 +55,63 @@ PAGES, EPOCHS, BATCH, RATE, SEED = 450, 4, 32, 0.01, 11
 class Block:
     __slots__ = ("path", "text", "linked", "main")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, main: bool = False):
+    def __init__(self, path: bytes, text: str, linked: int, main: bool = False):
         self.path, self.text, self.linked, self.main = path, text, linked, main
 
 
-def marks(tag: str, attrs: str) -> tuple[str, ...]:
-    """What a path keeps of an element: its tag and the words of its class, id and role."""
-    if not attrs or "=" not in attrs:
-        return (tag,)
+@lru_cache(maxsize=4096)
+def marks(tag: str, attrs: str) -> tuple[int, ...]:
+    """Places in the path vector of an element's tag and the words of its class, id and role."""
     out = [tag]
-    for m in ATTR.finditer(attrs):
-        for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower()):
-            out += ["." + w, f"{tag}.{w}"]
-    return tuple(out)
+    if "=" in attrs:
+        for m in ATTR.finditer(attrs):
+            for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower()):
+                out += ["." + w, f"{tag}.{w}"]
+    return tuple(zlib.crc32(m.encode()) % PATH for m in out)
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """Leaf blocks with text, in page order; a block's path is how often each place occurs in the open elements, 2 at most."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    opened: dict[str, int] = {}
+    held, path = [0] * PATH, None
     parts: list[str] = []
     linked = links = hidden = 0
     pos = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = "".join(parts)
             if "&" in text:
                 text = _html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(tuple(m for _, e in stack if _ not in INLINE for m in e), text, linked))
+                if path is None:
+                    path = bytes([min(2, n) for n in held])
+                out.append(Block(path, text, linked))
             parts.clear()
         linked = 0
 
+    def step(tag: str, places: tuple[int, ...], by: int) -> None:
+        nonlocal hidden, links, path
+        opened[tag] = opened.get(tag, 0) + by
+        hidden += by * (tag in HIDDEN)
+        links += by * (tag == "a")
+        if tag not in INLINE:
+            path = None
+            for k in places:
+                held[k] += by
+
     def close(at: int) -> None:
-        nonlocal hidden, links
-        for t, _ in stack[at:]:
-            hidden -= t in HIDDEN
-            links -= t == "a"
+        for t, places in stack[at:]:
+            step(t, places, -1)
         del stack[at:]
 
+    def last(tag: str) -> int:
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1) if opened.get(tag) else -1
+
     while m := TOKEN.match(page, pos):
         pos = m.end()
         tag = m[2]
@@ -105,14 +124,12 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text) * (links > 0)
             continue
         tag = tag.lower()
-        if hidden and not m[1] and tag not in IN_HEAD:
-            at = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
-            if at >= 0:
-                close(at)
+        if hidden and not m[1] and tag not in IN_HEAD and (at := last("head")) >= 0:
+            close(at)
         if tag == "br":
             parts.append(" ")
         elif m[1]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            at = last(tag)
             if at >= 0:
                 if tag not in INLINE:
                     flush()
@@ -127,20 +144,17 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag not in INLINE:
                 flush()
-                for same in (("p",),) if tag not in ("li", "tr", "td", "th", "dt", "dd", "option") else ((tag, "p"),):
-                    at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
-                    if at >= 0 and stack[at][0] in same:
-                        close(at)
-                if tag not in INLINE:  # unclosed inline elements end with their block
-                    k = len(stack)
-                    while k and stack[k - 1][0] in INLINE and stack[k - 1][0] != "a":
-                        k -= 1
-                    close(k)
+                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
+                if at >= 0 and (stack[at][0] == "p" or (stack[at][0] in SIBLINGS.get(tag, ()))):
+                    close(at)
+                k = len(stack)  # unclosed inline elements end with their block
+                while k and stack[k - 1][0] in INLINE and stack[k - 1][0] != "a":
+                    k -= 1
+                close(k)
             if m[3].endswith("/") and tag not in RAW:
                 continue
-            stack.append((tag, marks(tag, m[3])))
-            hidden += tag in HIDDEN
-            links += tag == "a"
+            stack.append((tag, places := marks(tag, m[3] if len(m[3]) < 2000 else m[3][:2000])))
+            step(tag, places, 1)
             if tag in RAW:  # its content isn't markup
                 end = re.compile(rf"</{tag}\b", re.I).search(page, pos)
                 pos = end.start() if end else len(page)
@@ -150,11 +164,8 @@ def blocks(page: str) -> list[Block]:
 
 def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), WIDTH), np.float32)
-    known: dict[tuple, np.ndarray] = {}
+    x[:, :PATH] = np.frombuffer(b"".join([b.path for b in found]), np.uint8).reshape(-1, PATH)
     for i, b in enumerate(found):
-        if b.path not in known:
-            known[b.path] = np.bincount([zlib.crc32(m.encode()) % PATH for m in b.path], minlength=PATH).clip(0, 2) if b.path else np.zeros(PATH)
-        x[i, :PATH] = known[b.path]
         words = b.text.lower().encode("utf-8", "replace").split()
         bag = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BAG, minlength=BAG)
         x[i, PATH : PATH + BAG] = bag / (bag.sum() ** 0.5)
@@ -180,8 +191,8 @@ class Labeller:
     def _sig(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str):
-        """States of one direction, n x t x h; padding leaves the state as it was."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool):
+        """States of one direction, n x t x h, and, to `keep`, what training needs; padding leaves the state as it was."""
         n, t, _ = x.shape
         h_n = HIDDEN_UNITS
         pre = (x.reshape(n * t, -1) @ self.p["w" + way]).reshape(n, t, 4 * h_n) + self.p["c" + way]
@@ -193,21 +204,22 @@ class Labeller:
             c_new = f * c + i * a
             tc = np.tanh(c_new)
             m = mask[:, k, None]
-            saved[k] = (h, c, i, f, o, a, tc)
+            if keep:
+                saved[k] = (h, c, i, f, o, a, tc)
             h, c = np.where(m, o * tc, h), np.where(m, c_new, c)
             out[:, k] = h
         return out, saved
 
-    def logits(self, x: np.ndarray, mask: np.ndarray):
-        f, sf = self._run(x, mask, "f")
-        b, sb = self._run(x, mask, "b")
+    def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+        f, sf = self._run(x, mask, "f", keep)
+        b, sb = self._run(x, mask, "b", keep)
         both = np.concatenate([f, b], 2)
         return both, (both @ self.p["out"])[:, :, 0] + self.p["bias"][0], (sf, sb)
 
     def grads(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n, t, _ = x.shape
         h_n = HIDDEN_UNITS
-        both, z, saved = self.logits(x, mask)
+        both, z, saved = self.logits(x, mask, True)
         dz = (self._sig(z) - y) * mask / mask.sum()
         out = {"out": both.reshape(n * t, -1).T @ dz.reshape(-1, 1), "bias": np.array([dz.sum()], np.float32)}
         d_both = dz[:, :, None] * self.p["out"][:, 0]
@@ -310,6 +322,12 @@ def made_page(r: random.Random) -> str:
             body.append(f"<h2>{MAIN}{words(1, 8)}</h2>")
         elif x < 0.86:
             body.append("<ul>" + "".join(f"<li>{MAIN}{words(2, 15)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+        elif x < 0.875:
+            body.append("<table>" + "".join("<tr>" + "".join(f"<{cell}>{MAIN}{words(1, 6)}</{cell}>" for _ in range(r.randint(1, 4))) + "</tr>" for cell in ("th", *["td"] * r.randint(1, 4))) + "</table>")
+        elif x < 0.885:
+            body.append("<dl>" + "".join(f"<dt>{MAIN}{words(1, 3)}</dt><dd>{MAIN}{words(2, 20)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
+        elif x < 0.895:
+            body.append(r.choice((f"<pre>{MAIN}{words(2, 20)}</pre>", f"<pre><code>{MAIN}{words(2, 20)}</code></pre>", f"<figure><img src=x><figcaption>{MAIN}{words(1, 12)}</figcaption></figure>", f"<ol><li>{MAIN}{words(1, 4)}<li>{MAIN}{words(1, 4)}</ol>")))
         elif x < 0.9:
             body.append(f"<blockquote>{MAIN}{words(4, 40)}</blockquote>")
         elif x < 0.93:
