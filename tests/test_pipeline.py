@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater import queries
-from tidewater.config import Config
+from tidewater.config import NULL_TOKENS, Config
 from tidewater.operators import clean as op
 from tidewater.operators import matching
 from tidewater.plans.pipeline import clean
@@ -94,41 +95,138 @@ def test_every_query_has_unique_columns(spark):
         assert len(cols) == len(set(cols)), name
 
 
-def test_normalize_text_reads_whole_texts(spark, tmp_path):
+def test_normalize_name_reads_whole_texts(spark, tmp_path):
     import re
     import unicodedata
 
-    texts = ["word " * 40 + "Zoë Ångström-O'Neil", "Ü" * 300 + "\tŐ x", "a\n b 1c " * 200, "", None]
+    texts = ["word " * 40 + "Zoë Ångström-O'Neil", "Ü" * 300 + "\tŐ x", "a\n b 1c " * 200, "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for sf in (str(tmp_path), "/root/testdata/sf0.001"):
         docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-        got = {r.doc_id: r.name for r in queries.QUERIES["normalize_text"](spark, sf).collect()}
+        got = {r.doc_id: r.name for r in queries.QUERIES["normalize_name"](spark, sf).collect()}
         assert got.keys() == docs.keys()
         for k, t in docs.items():
             plain = "".join(c for c in unicodedata.normalize("NFKD", t or "").lower() if not unicodedata.combining(c))
             assert got[k] == re.sub(r"\s+", " ", re.sub(r"[^a-z\s]", " ", plain)).strip()
 
 
-def test_keyed_blocks_keep_their_size(spark, tmp_path):
+def test_blocks_keep_their_size(spark, tmp_path):
     found = {}
     for n in (4_000, 40_000):
         spark.range(1, n + 1).selectExpr("id AS p_partkey", "'a b' AS p_name").write.parquet(str(tmp_path / f"{n}/part.parquet"))
-        sizes = matching.blocks(matching.records(queries._keyed(spark, str(tmp_path / f"{n}")), "patient_id")).groupBy("kind", "dated", "k1", "k2").count()
+        sizes = matching.blocks(matching.records(queries._matchable(spark, str(tmp_path / f"{n}")), "patient_id")).groupBy("kind", "dated", "k1", "k2").count()
         most = {r.kind: r.m for r in sizes.groupBy("kind").agg(F.max("count").alias("m")).collect()}
-        pairs = [queries.QUERIES[q](spark, str(tmp_path / f"{n}")).count() for q in ("keyed_block_pairs", "keyed_fuzzy_duplicates", "keyed_fuzzy_all_blocks")]
-        found[n] = most, pairs
+        pairs = [queries.QUERIES[q](spark, str(tmp_path / f"{n}")) for q in ("block_pairs", "fuzzy_duplicates")]
+        found[n] = most, [pairs[0].count(), pairs[1].where("dob_relation <> 'unknown'").count(), pairs[1].where("dob_relation = 'unknown'").count()]
     (small, few), (large, many) = found[4_000], found[40_000]
-    assert len(large) == 5 and max(large.values()) <= 50 and all(large[k] <= max(16, 2 * v) for k, v in small.items()), found
-    assert all(8 * a < b < 20 * a for a, b in zip(few, many, strict=True)) and many[2] > many[1] > 0, found
-    unknown = queries.QUERIES["keyed_fuzzy_all_blocks"](spark, str(tmp_path / "40000")).where("dob_relation = 'unknown'").count()
-    assert unknown > 0
+    exact = ("dob", "signature")  # kinds whose blocks hold one family of the made-up people
+    assert len(large) == 5 and all(large[k] <= max(16, 2 * small[k]) for k in exact), found
+    assert all(8 * a < b < 40 * a for a, b in zip(few, many, strict=True)), found
 
 
-def test_keyed_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_gives_the_same_rows(spark, name):
+    import os
+
     import duckdb
 
-    con = duckdb.connect()
-    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
-    for name in ("keyed_block_pairs", "keyed_annotate_partners"):
-        want = sorted(map(tuple, con.execute(queries.ORACLES[name]).fetchall()), key=str)
-        assert sorted(map(tuple, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str) == want and want, name
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("customer", "documents", "orders", "part"):
+        path = f"{sf}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall(), key=str)
+    got = sorted(map(tuple, df.select(cols).collect()), key=str)
+    assert len(got) == len(want) and want
+    assert all(x == y or isinstance(x, float) and x == pytest.approx(y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_csv_rows_and_headers(spark, tmp_path):
+    def read(text: str):
+        (tmp_path / "x.csv").write_text(text, encoding="utf-8")
+        return files.load_raw(spark, str(tmp_path / "x.csv"))
+
+    rows = read('"a,b","a,c"\n0012," x "\n"q""q","two\nlines"\nshort\n').drop("_ord").collect()
+    assert [tuple(r) for r in rows] == [("0012", " x "), ('q"q', "two\nlines"), ("short", None)]
+    for bad in ("a,b\n1,2\n3,4,5\n", "a,b\n1,2,3,4,5\n"):
+        with pytest.raises(Exception, match="more cells than its header"):
+            read(bad).collect()
+        with pytest.raises(Exception, match="more cells than its header"):
+            read(bad).count()
+    with pytest.raises(ValueError, match="repeated header"):
+        read("a,a\n1,2\n")
+    with pytest.raises(FileNotFoundError):
+        files.load_raw(spark, str(tmp_path / "none.csv"))
+
+
+def test_single_file_keeps_every_cell(spark, tmp_path):
+    rows = [(i, t, dt.date(2024, 1, 2) if i % 2 else None, i % 3 == 0) for i, t in enumerate(['a"b', "c,d", "two\nlines", None, "é", ""])]
+    df = spark.createDataFrame(rows, 'i long, `x,y` string, d date, ok boolean').repartition(3)
+    path = str(tmp_path / "out/one.csv")
+    files.write_single(df, path)
+    got = {tuple(r) for r in files.load_raw(spark, path).drop("_ord").collect()}
+    assert got == {(str(i), t or None, str(d) if d else None, str(ok)) for i, t, d, ok in rows}
+    assert not (tmp_path / "out/one.csv.parts").exists()
+
+
+def test_source_of_dirty_rows(spark):
+    rows = datagen.generate(spark, 400).collect()
+    assert sorted(rows) == sorted(datagen.generate(spark, 400).repartition(7).collect()) and rows != datagen.generate(spark, 400, 7).collect()
+    keys = {r.patient_id for r in rows}
+    assert len(rows) == 400 and len(keys) == 364 and 400 - len(set(rows)) == 18
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.patient_id, set()).add(r)
+    near = [g for g in by.values() if len(g) > 1]
+    assert near and all(len({r.email for r in g} | {r.phone for r in g} | {r.weight_kg for r in g} | {r.insurance_provider for r in g} | {r.blood_type for r in g}) > 5 for g in near)
+    # A key's birth dates are renderings of one date, and all that isn't a gap can be read.
+    born = spark.createDataFrame(datagen.generate(spark, 3000).collect()).select("patient_id", "date_of_birth", datagen.read_birth(F.col("date_of_birth")).alias("b")).cache()
+    assert born.where("b is null").select("date_of_birth").distinct().count() <= len(NULL_TOKENS)
+    assert born.where("b is not null").groupBy("patient_id").agg(F.countDistinct(F.expr("date_format(b, 'MM-dd')")).alias("n")).where("n > 1").count() == 0
+    dice = datagen.Dice(1, F.col("id"))
+    slips = spark.range(200).select(datagen.slip(F.lit("abcdef"), dice, "x").alias("s"), datagen.slip(F.lit("ab"), dice, "x").alias("short")).collect()
+    assert {len(r.s) for r in slips} == {5, 6, 7} and all(r.s != "abcdef" and r.short == "ab" for r in slips)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from tidewater import cli
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    raw, out, report, pairs = (str(tmp_path / n) for n in ("raw.csv", "clean.csv", "report.json", "pairs.csv"))
+    assert cli.main(["--generate", "300", "--output", raw, "--seed", "3"]) == 0
+    assert "300 rows, 273 distinct keys, 14 exact duplicates, 13 more rows of a known key" in capsys.readouterr().out
+    assert cli.main(["-i", raw, "-o", out, "--report-json", report, "--fuzzy-report", pairs, "--as-of", "2026-09-01", "--date-convention", "dayfirst"]) == 0
+    found = json.loads(open(report).read())
+    rows = files.load_raw(spark, out)
+    assert rows.count() == found["volume"]["rows_out"] == 273 and rows.columns[0] == "patient_id"
+    assert files.load_raw(spark, pairs).count() == found["fuzzy_duplicates"]["candidate_pairs"]
+    assert cli.main(["-i", raw, "-o", out, "--as-of", "2026-09-01", "--valid-only", "--no-fuzzy"]) == 0
+    valid = files.load_raw(spark, out)
+    assert 0 < valid.count() < 273 and {r.is_valid for r in valid.select("is_valid").collect()} == {"True"}
+    assert cli.main(["-i", str(tmp_path / "none.csv")]) == 1
+
+
+def test_stream_gives_what_the_table_gives(spark, tmp_path):
+    from tidewater.streaming.stages import stateless
+
+    raw = datagen.generate(spark, 60)
+    raw.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stateless(stream, "dayfirst", "2026-09-01").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).start(str(tmp_path / "out"))
+    q.processAllAvailable()
+    q.stop()
+    want = stateless(raw, "dayfirst", "2026-09-01")
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        stateless(stream, "auto", "2026-09-01")
+
+
+def test_sql_functions(spark):
+    from tidewater.functions import similarity
+
+    similarity.register(spark)
+    row = spark.sql("SELECT normalize_name('Bergström-O''X  1') AS n, normalize_name(null) AS e, letter_signature('ba', 'c a') AS s, jaro('MARTHA', 'MARHTA') AS j, jaro_winkler('a', null) AS w").first()
+    assert (row.n, row.e, row.s, row.w) == ("bergstrom o x", "", "aabc", None) and row.j == pytest.approx(17 / 18)

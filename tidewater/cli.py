@@ -36,7 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.generate:
         df = datagen.generate(spark, a.generate, a.seed, date.fromisoformat(a.as_of) if a.as_of else date(2026, 9, 1))
         files.write_single(df, a.output)
-        print(f"{a.generate} rows, {df.select('patient_id').distinct().count()} distinct keys")
+        keys, rows = df.select("patient_id").distinct().count(), df.distinct().count()
+        print(f"{a.generate} rows, {keys} distinct keys, {a.generate - rows} exact duplicates, {rows - keys} more rows of a known key")
         return 0
     try:
         raw = files.load_raw(spark, a.input)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def jaro_score(a: str, b: str) -> float:
@@ -69,10 +70,25 @@ def name_similarity(left: Column, right: Column, swapped: Column) -> Column:
     return run.asNondeterministic()(left, right, swapped)
 
 
+@F.arrow_udf(StringType())
+def _normalized(names: pa.Array) -> pa.Array:
+    import re
+    import unicodedata
+
+    def one(x: str | None) -> str:
+        wide = unicodedata.normalize("NFKD", x or "").lower()
+        return " ".join(re.sub(r"[^a-z\s]", " ", "".join(c for c in wide if not unicodedata.category(c).startswith("M"))).split())
+
+    return pa.array([one(x) for x in names.to_pylist()], pa.string())
+
+
 def register(spark) -> None:
-    """SQL functions jaro, jaro_winkler, normalize_nfkd."""
+    """SQL functions jaro, jaro_winkler, normalize_nfkd, normalize_name, letter_signature; soundex is Spark's own."""
     from .text import _decompose
 
-    spark.udf.register("jaro", _pairwise(jaro_score))
-    spark.udf.register("jaro_winkler", _pairwise(jaro_winkler_score))
-    spark.udf.register("normalize_nfkd", _decompose)
+    @F.arrow_udf("string")
+    def signature(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else "".join(sorted((x + y).replace(" ", ""))) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+    for name, f in (("jaro", _pairwise(jaro_score)), ("jaro_winkler", _pairwise(jaro_winkler_score)), ("normalize_nfkd", _decompose), ("normalize_name", _normalized), ("letter_signature", signature)):
+        spark.udf.register(name, f)

@@ -38,9 +38,12 @@ def _decompose(s: pa.Array) -> pa.Array:
 
 
 def normalize_name(c: Column) -> Column:
-    """Decomposed, lower-cased, marks dropped, all but a-z and spaces blanked; null becomes ''."""
+    """Decomposed, lower-cased, marks dropped, all but a-z and spaces blanked; null becomes ''.
+
+    Python is given nulls for ASCII values, as a condition around it wouldn't keep them from it.
+    """
     plain = F.coalesce(c, F.lit(""))
-    wide = F.when(plain.rlike(r"[^\x00-\x7F]"), _decompose(plain)).otherwise(plain)
+    wide = F.coalesce(_decompose(F.when(plain.rlike(r"[^\x00-\x7F]"), plain)), plain)
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(wide), r"\p{M}+", ""), r"(?U)[^a-z\s]", " "))
 
 

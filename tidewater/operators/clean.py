@@ -6,6 +6,7 @@ column (date convention, medians' existence), and then one row is.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +58,32 @@ def exact_dedup(df: DataFrame) -> DataFrame:
     return df.groupBy(*[F.col(f"`{c}`") for c in data_columns(df)]).agg(F.min(ORD).alias(ORD)).select(df.columns)
 
 
+def _preferred(columns: list[str], recency: str) -> list[Column]:
+    filled = sum((F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in columns), F.lit(0))
+    return [filled.desc(), *([F.col(recency).desc_nulls_last()] if recency in columns else []), F.col(ORD)]
+
+
 def survivorship(df: DataFrame, key: str, recency: str = "admission_date") -> DataFrame:
     """One row a key: the most complete, then the most recent (nulls last), then the first of the file."""
     df = with_order(df)
-    filled = sum((F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in data_columns(df)), F.lit(0))
-    order = [filled.desc(), *([F.col(recency).desc_nulls_last()] if recency in df.columns else []), F.col(ORD)]
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
-
-
-def drop_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, dict]:
-    """Exact copies, then rows of one key; with the counts of the report."""
-    df = with_order(df).cache()
-    once = exact_dedup(df)
-    out = survivorship(once, key)
-    a, b, c = df.count(), once.count(), out.count()
-    df.unpersist()
-    return out, {"rows_in": a, "exact_duplicate_rows_removed": a - b, "same_patient_rows_removed": b - c, "rows_out": c}
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*_preferred(data_columns(df), recency)))).where("_rank = 1").drop("_rank")
+
+
+def drop_duplicates(df: DataFrame, key: str, recency: str = "admission_date") -> tuple[DataFrame, dict]:
+    """Exact copies, then rows of one key; with the counts of the report.
+
+    The result is persisted, and each of its rows knows how many rows and how many unlike rows its key had, so the
+    input is read once and the counts are sums over what is left.
+    """
+    df = with_order(df)
+    columns = data_columns(df)
+    once = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(ORD).alias(ORD), F.count(F.lit(1)).alias("_copies"))
+    best = _preferred(columns, recency)
+    by = Window.partitionBy(key)
+    rows = once.withColumns({"_rank": F.row_number().over(by.orderBy(*best)), "_rows": F.sum("_copies").over(by), "_unlike": F.count(F.lit(1)).over(by)})
+    out = rows.where("_rank = 1").drop("_rank", "_copies").persist(StorageLevel.MEMORY_AND_DISK)
+    n = out.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("a"), F.coalesce(F.sum("_unlike"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("c")).first()
+    return out.select(df.columns), {"rows_in": n.a, "exact_duplicate_rows_removed": n.a - n.b, "same_patient_rows_removed": n.b - n.c, "rows_out": n.c}
 
 
 def lookup(c: Column, vocabulary: dict[str, str]) -> Column:

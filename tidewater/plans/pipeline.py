@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date, datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,6 @@ def clean(df: DataFrame, convention: str = "auto", as_of: date | str | None = No
     dated, used = op.standardize_dates(std, convention, as_of, cfg)
     report["dates"] = _date_report(std, dated, used, as_of, cfg)
     unique, report["duplicates"] = op.drop_duplicates(dated, key)
-    unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
     report["missing_before"] = op.null_profile(unique)
     conformed = op.conform(unique, cfg)
     report["categories"] = _category_report(unique, conformed, cfg)

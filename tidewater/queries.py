@@ -40,7 +40,7 @@ _DIRTY_TEXT = "CASE WHEN c_custkey % 7 = 0 THEN '  ' || c_name || ' ' WHEN c_cus
 @query(f"SELECT c_custkey, CASE WHEN lower(s) IN ({_TOKENS}) THEN NULL ELSE s END AS value FROM (SELECT c_custkey, trim(regexp_replace({_DIRTY_TEXT}, '\\s+', ' ', 'g')) AS s FROM customer)")
 def standardize_text(spark, sf):
     df = _t(spark, sf, "customer").select("c_custkey", F.expr(_DIRTY_TEXT).alias("value"))
-    return df.select("c_custkey", text.null_tokens(text.squeeze(F.col("value"))).alias("value"))
+    return op.standardize_text(df.withColumnRenamed("c_custkey", op.ORD)).withColumnRenamed(op.ORD, "c_custkey")
 
 
 def _rendered_spark(at: str = "o_orderdate") -> Column:
@@ -60,6 +60,41 @@ def parse_dates(spark, sf):
     return df.select("o_orderkey", dates.parse_date(F.col("s"), True).cast("date").alias("parsed"))
 
 
+#: Every format that dates are read in, as Spark and as DuckDB write it; the last five exist in both orders.
+_FORMATS = (
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy/MM/dd", "%Y/%m/%d"), ("dd-MMM-yyyy", "%d-%b-%Y"),
+    ("dd MMM yyyy", "%d %b %Y"), ("MMM dd, yyyy", "%b %d, %Y"), ("MMMM dd, yyyy", "%B %d, %Y"), ("dd-MMMM-yyyy", "%d-%B-%Y"), ("yyyyMMdd", "%Y%m%d"),
+    ("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"), ("dd/MM/yyyy", "%d/%m/%Y"), ("dd.MM.yyyy", "%d.%m.%Y"), ("dd/MM/yy", "%d/%m/%y"), ("dd.MM.yy", "%d.%m.%y"),
+)
+
+
+def _formats(day_first: bool) -> list[tuple[str, str]]:
+    swap = lambda s, d, m: s.replace(d, "\0").replace(m, d).replace("\0", m)
+    return [*_FORMATS[:10], *(f if day_first else (swap(f[0], "dd", "MM"), swap(f[1], "%d", "%m")) for f in _FORMATS[10:])]
+
+
+def _all_formats_sql(day_first: bool) -> str:
+    at = " ".join(f"WHEN {i} THEN try_strptime(strftime(o_orderdate, '{d}'), '{d}')" for i, (_, d) in enumerate(_formats(day_first)))
+    return f"SELECT o_orderkey, (CASE o_orderkey % 17 {at} END)::DATE AS parsed FROM orders"
+
+
+def _all_formats(spark: SparkSession, sf: str, day_first: bool) -> DataFrame:
+    s = F.when(F.col("o_orderkey") % 17 == 15, "no date").when(F.col("o_orderkey") % 17 == 16, "31/31/1999")
+    for i, (f, _) in enumerate(_formats(day_first)):
+        s = s.when(F.col("o_orderkey") % 17 == i, F.date_format("o_orderdate", f))
+    return _t(spark, sf, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", dates.parse_date(F.col("s"), day_first).cast("date").alias("parsed"))
+
+
+@query(_all_formats_sql(True))
+def parse_dates_day_first(spark, sf):
+    return _all_formats(spark, sf, True)
+
+
+@query(_all_formats_sql(False))
+def parse_dates_month_first(spark, sf):
+    return _all_formats(spark, sf, False)
+
+
 @query(f"SELECT count(*) FILTER (a > 12) AS day_first, count(*) FILTER (b > 12) AS month_first, count(*) FILTER (a > 12) >= count(*) FILTER (b > 12) AS is_day_first FROM (SELECT try_cast(regexp_extract(s, '^(\\d{{1,2}})[/.](\\d{{1,2}})[/.](\\d{{2,4}})$', 1) AS INT) AS a, try_cast(regexp_extract(s, '^(\\d{{1,2}})[/.](\\d{{1,2}})[/.](\\d{{2,4}})$', 2) AS INT) AS b FROM (SELECT {_RENDERED} AS s FROM orders))")
 def infer_convention(spark, sf):
     d, m = dates.evidence(F.col("s"))
@@ -74,7 +109,8 @@ def century_fix(spark, sf):
 
 @query("SELECT text, lang, source, min(doc_id) AS doc_id FROM documents GROUP BY text, lang, source")
 def exact_duplicate_rows(spark, sf):
-    return _t(spark, sf, "documents").groupBy("text", "lang", "source").agg(F.min("doc_id").alias("doc_id"))
+    df = _t(spark, sf, "documents").select("text", "lang", "source", F.col("doc_id").alias(op.ORD))
+    return op.exact_dedup(df).withColumnRenamed(op.ORD, "doc_id")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (status IS NOT NULL)::INT + (price IS NOT NULL)::INT + (admission_date IS NOT NULL)::INT DESC, admission_date DESC NULLS LAST, o_orderkey) AS r FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END AS admission_date FROM orders)) WHERE r = 1")
@@ -184,14 +220,8 @@ def title_case(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", text.title_case(F.concat("p_name", F.lit("-"), F.lower("p_brand"))).alias("title"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(w)), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM (SELECT doc_id, regexp_replace(left(text, 60), '[^A-Za-zÀ-ÖØ-öø-ÿ ]', ' ', 'g') AS w FROM documents)")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
 def normalize_name(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", text.normalize_name(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-zÀ-ÖØ-öø-ÿ ]", " ")).alias("name"))
-
-
-@query()
-def normalize_text(spark, sf):
-    """normalize_name over the whole text; tests compare it with brute force."""
     return _t(spark, sf, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("name"))
 
 
@@ -212,40 +242,83 @@ def signature_keys(spark, sf):
     return _names(spark, sf).select("p_partkey", text.letter_signature(F.col("first"), F.col("last")).alias("signature"))
 
 
-@query()
+def _soundex_sql(x: str) -> str:
+    """Soundex of a lower-case name in DuckDB's SQL: H and W (9) part nothing, vowels (0) part equal sounds."""
+    u = f"upper(regexp_replace({x}, '[^a-z]', '', 'g'))"
+    code = f"translate({u}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000099')"
+    runs = f"replace(left({code}, 1), '9', '0') || replace(substr({code}, 2), '9', '')"
+    for digit in "0123456":
+        runs = f"regexp_replace({runs}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN {u} = '' THEN '' ELSE left(left({u}, 1) || replace(substr({runs}, 2), '0', '') || '000', 4) END"
+
+
+def _metaphone_sql(x: str) -> str:
+    """The phonetic key in DuckDB's SQL; contains() holds for the empty string, which a word's edge gives."""
+    u = f"upper(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+    w = f"CASE WHEN regexp_matches({u}, '^(AE|GN|KN|PN|WR)') THEN substr({u}, 2) WHEN {u} LIKE 'X%' THEN 'S' || substr({u}, 2) WHEN {u} LIKE 'WH%' THEN 'W' || substr({u}, 3) ELSE {u} END"
+    at = lambda k: f"CASE WHEN i + {k} < 1 THEN '' ELSE substr({w}, CAST(i + {k} AS BIGINT), 1) END"
+    near = f"list_transform(range(1, length({w}) + 1), lambda i: {{'i': i, 'p2': {at(-2)}, 'p': {at(-1)}, 'c': {at(0)}, 'n': {at(1)}, 'n2': {at(2)}}})"
+    return f"""array_to_string(list_transform({near}, lambda s: CASE
+WHEN s.p = s.c AND s.c <> 'C' THEN '' WHEN contains('AEIOU', s.c) THEN CASE WHEN s.i = 1 THEN s.c ELSE '' END
+WHEN s.c = 'B' THEN CASE WHEN s.p = 'M' AND s.n = '' THEN '' ELSE 'B' END
+WHEN s.c = 'C' THEN CASE WHEN s.n = 'I' AND s.n2 = 'A' THEN 'X' WHEN s.n = 'H' THEN CASE WHEN s.p = 'S' THEN 'K' ELSE 'X' END WHEN contains('EIY', s.n) THEN CASE WHEN s.p = 'S' THEN '' ELSE 'S' END ELSE 'K' END
+WHEN s.c = 'D' THEN CASE WHEN s.n = 'G' AND contains('EYI', s.n2) THEN 'J' ELSE 'T' END
+WHEN s.c = 'G' THEN CASE WHEN s.p = 'D' AND s.p2 <> 'D' AND contains('EYI', s.n) THEN '' WHEN s.n = 'H' THEN CASE WHEN contains('AEIOU', s.n2) THEN 'K' ELSE '' END WHEN s.n = 'N' THEN '' WHEN contains('EIY', s.n) THEN 'J' ELSE 'K' END
+WHEN s.c = 'H' THEN CASE WHEN contains('AEIOU', s.p) AND NOT contains('AEIOU', s.n) OR contains('CSPTG', s.p) THEN '' ELSE 'H' END
+WHEN s.c = 'P' THEN CASE WHEN s.n = 'H' THEN 'F' ELSE 'P' END WHEN s.c = 'Q' THEN 'K'
+WHEN s.c = 'S' THEN CASE WHEN s.n = 'H' OR s.n = 'I' AND contains('OA', s.n2) THEN 'X' ELSE 'S' END
+WHEN s.c = 'T' THEN CASE WHEN s.n = 'I' AND contains('OA', s.n2) THEN 'X' WHEN s.n = 'H' THEN '0' ELSE 'T' END
+WHEN s.c = 'V' THEN 'F' WHEN s.c = 'X' THEN 'KS' WHEN s.c = 'Z' THEN 'S' WHEN s.c IN ('W', 'Y') THEN CASE WHEN contains('AEIOU', s.n) THEN s.c ELSE '' END
+ELSE s.c END), '')"""
+
+
+@query(f"SELECT doc_id, w AS word, {_soundex_sql('w')} AS soundex, {_metaphone_sql('w')} AS metaphone FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents WHERE text IS NOT NULL)")
 def phonetic_keys(spark, sf):
-    return _names(spark, sf).select("p_partkey", text.soundex_key(F.col("first")).alias("soundex"), text.metaphone_key(F.col("last")).alias("metaphone"))
+    """Of every distinct word of ASCII letters in every document."""
+    words = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)))
+    d = _t(spark, sf, "documents").select("doc_id", words.alias("word")).select("doc_id", F.lower("word").alias("word")).distinct()
+    return d.select("doc_id", "word", text.soundex_key(F.col("word")).alias("soundex"), text.metaphone_key(F.col("word")).alias("metaphone"))
 
 
-_MATCH = """SELECT CAST(p_partkey AS {t}) AS patient_id, split_part(p_name, ' ', 1) AS first_name, split_part(p_name, ' ', 2) AS last_name,
-CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE {add}(DATE '1950-01-01', CAST(p_partkey % 500 * 40 AS INT)) END AS date_of_birth, CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender FROM part"""
+# People whose blocks keep their size as the table grows: four in a row share a date and letters of their number's hash.
+_GROUP = "CAST((p_partkey - p_partkey % 4) / 4 AS BIGINT)"
+_LETTERS = f"translate(md5(CAST({_GROUP} AS {{t}})), '0123456789abcdef', 'bcdfgklmnprstaei')"
+_MATCH = f"""SELECT CAST(p_partkey AS {{t}}) AS patient_id, CASE WHEN p_partkey % 50 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN substr(w, 8, 7) WHEN p_partkey % 4 = 2 THEN substr(w, 1, 7) || 'e' ELSE substr(w, 1, 7) END AS first_name,
+CASE WHEN p_partkey % 25 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN substr(w, 1, 7) WHEN p_partkey % 4 = 3 THEN substr(w, 15, 7) ELSE substr(w, 8, 7) END AS last_name,
+CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE {{add}}(DATE '1950-01-01', CAST({_GROUP} % 2900000 + p_partkey % 3 * 30 AS INT)) END AS date_of_birth, CASE p_partkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'Unknown' ELSE 'F' END AS gender FROM (SELECT p_partkey, {_LETTERS} AS w FROM part)"""
 
 
 def _matchable(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_MATCH.format(t="STRING", add="date_add").replace("FROM part", "FROM {part}"), part=_t(spark, sf, "part"))
 
 
-_DATED = f"""m AS ({_MATCH.format(t='VARCHAR', add='add')}),
-bl AS (SELECT *, 'dob' AS kind, CAST(date_of_birth AS VARCHAR) AS k FROM m WHERE date_of_birth IS NOT NULL UNION ALL SELECT *, 'year', year(date_of_birth) || '/' || left(last_name, 3) FROM m WHERE date_of_birth IS NOT NULL AND last_name <> ''),
-fit AS (SELECT kind, k FROM bl GROUP BY ALL HAVING count(*) BETWEEN 2 AND 100),
-pr AS (SELECT DISTINCT a.patient_id AS a, b.patient_id AS b, a.first_name || ' ' || a.last_name AS na, b.first_name || ' ' || b.last_name AS nb, b.last_name || ' ' || b.first_name AS nc, a.date_of_birth AS da, b.date_of_birth AS db
-       FROM bl a JOIN fit USING (kind, k) JOIN bl b USING (kind, k) WHERE a.patient_id < b.patient_id)"""
+_BLOCKED = f"""m AS ({_MATCH.format(t='VARCHAR', add='add')}),
+ph AS (SELECT *, {_soundex_sql('first_name')} AS sf, {_soundex_sql('last_name')} AS sl, {_metaphone_sql('first_name')} AS mf, {_metaphone_sql('last_name')} AS ml, array_to_string(list_sort(string_split(first_name || last_name, '')), '') AS sig FROM m),
+bl AS (SELECT ph.*, b.* FROM ph, LATERAL (VALUES (true, 'dob', CAST(date_of_birth AS VARCHAR), '', date_of_birth IS NOT NULL), (true, 'year_name', CAST(year(date_of_birth) AS VARCHAR), left(last_name, 3), date_of_birth IS NOT NULL AND last_name <> ''),
+  (false, 'soundex', sf, sl, first_name || last_name <> ''), (false, 'metaphone', mf, ml, first_name || last_name <> ''), (false, 'signature', sig, '', first_name || last_name <> '')) AS b(dated, kind, k1, k2, has) WHERE has),
+fit AS (SELECT kind, k1, k2 FROM bl GROUP BY ALL HAVING count(*) BETWEEN 2 AND 100),
+pr AS (SELECT DISTINCT a.patient_id AS a, b.patient_id AS b, trim(a.first_name || ' ' || a.last_name) AS na, trim(b.first_name || ' ' || b.last_name) AS nb, trim(b.last_name || ' ' || b.first_name) AS nc, a.date_of_birth AS da, b.date_of_birth AS db, a.gender AS ga, b.gender AS gb
+  FROM bl a JOIN fit USING (kind, k1, k2) JOIN bl b USING (kind, k1, k2) WHERE a.patient_id < b.patient_id AND (a.dated OR a.date_of_birth IS NULL OR b.date_of_birth IS NULL))"""
 
 
-@query(f"WITH {_DATED} SELECT a, b FROM pr")
+@query(f"WITH {_BLOCKED} SELECT a, b FROM pr")
 def block_pairs(spark, sf):
-    rec = matching.records(_matchable(spark, sf), "patient_id").where("_d is not null")
-    return matching.candidates(matching.blocks(rec)).select(F.col("_ka").alias("a"), F.col("_kb").alias("b"))
+    """All five block kinds, undated records too."""
+    return matching.candidates(matching.blocks(matching.records(_matchable(spark, sf), "patient_id"))).select(F.col("_ka").alias("a"), F.col("_kb").alias("b"))
 
 
-_SCORED = f"""{_DATED},
-sc AS (SELECT *, CASE WHEN da = db THEN 'exact' WHEN year(da) = year(db) AND month(da) = day(db) AND day(da) = month(db) THEN 'transposed' WHEN year(da) = year(db) THEN 'same_year' END AS dob_relation, greatest(jaro_winkler_similarity(na, nb), jaro_winkler_similarity(na, nc)) AS s FROM pr),
-ok AS (SELECT * FROM sc WHERE s >= CASE WHEN dob_relation = 'exact' THEN 0.9 ELSE 0.96 END AND dob_relation IS NOT NULL)"""
+_SCORED = f"""{_BLOCKED},
+sc AS (SELECT *, CASE WHEN da IS NULL OR db IS NULL THEN 'unknown' WHEN da = db THEN 'exact' WHEN year(da) = year(db) AND month(da) = day(db) AND day(da) = month(db) THEN 'transposed' WHEN year(da) = year(db) THEN 'same_year' END AS dob_relation,
+  CASE WHEN na = '' OR nb = '' THEN 0 ELSE greatest(jaro_winkler_similarity(na, nb), jaro_winkler_similarity(na, nc)) END AS s FROM pr),
+hit AS (SELECT *, dob_relation = 'unknown' AND ga <> 'Unknown' AND gb <> 'Unknown' AND ga <> gb AS veto, CASE WHEN dob_relation = 'exact' AND s >= 0.96 THEN 'high' WHEN dob_relation IN ('exact', 'transposed') THEN 'medium' ELSE 'low' END AS confidence
+  FROM sc WHERE s >= CASE dob_relation WHEN 'exact' THEN 0.9 WHEN 'unknown' THEN 0.95 ELSE 0.96 END AND dob_relation IS NOT NULL),
+ok AS (SELECT * FROM hit WHERE NOT veto)"""
 
 
-@query(f"WITH {_SCORED} SELECT a AS patient_id_a, b AS patient_id_b, na AS name_a, nb AS name_b, da AS date_of_birth_a, db AS date_of_birth_b, dob_relation, round(s, 3) AS name_score, CASE WHEN dob_relation = 'exact' AND s >= 0.96 THEN 'high' WHEN dob_relation IN ('exact', 'transposed') THEN 'medium' ELSE 'low' END AS confidence FROM ok")
+@query(f"WITH {_SCORED} SELECT a AS patient_id_a, b AS patient_id_b, na AS name_a, nb AS name_b, da AS date_of_birth_a, db AS date_of_birth_b, dob_relation, round(s, 3) AS name_score, confidence FROM ok")
 def fuzzy_duplicates(spark, sf):
-    rec = matching.records(_matchable(spark, sf), "patient_id").where("_d is not null")
+    """Admission, thresholds, veto and confidence over all block kinds."""
+    rec = matching.records(_matchable(spark, sf), "patient_id")
     return matching.pair_table(matching.scored(matching.candidates(matching.blocks(rec))), "patient_id")
 
 
@@ -254,55 +327,46 @@ def annotate_partners(spark, sf):
     return matching.annotate(_matchable(spark, sf), fuzzy_duplicates(spark, sf)).select("patient_id", "possible_duplicate_of")
 
 
-@query()
-def fuzzy_all_blocks(spark, sf):
-    """All five block kinds, undated records too."""
-    rec = matching.records(_matchable(spark, sf), "patient_id")
-    return matching.pair_table(matching.scored(matching.candidates(matching.blocks(rec))), "patient_id")
-
+@query(f"""WITH {_SCORED} SELECT CAST(0.9 AS DOUBLE) AS threshold, CAST(0.96 AS DOUBLE) AS strict_threshold, CAST(0.95 AS DOUBLE) AS no_dob_threshold, (SELECT count(*) FROM hit WHERE veto) AS vetoed_on_gender_conflict,
+(SELECT count(*) FROM (SELECT DISTINCT kind, k1, k2 FROM bl)) AS blocks_built, (SELECT count(*) FROM pr) AS pairs_compared, (SELECT count(*) FROM pr WHERE da IS NULL OR db IS NULL) AS pairs_from_name_only_blocks,
+(SELECT count(*) FROM ok) AS candidate_pairs, (SELECT count(*) FROM (SELECT a FROM ok UNION SELECT b FROM ok)) AS records_involved, (SELECT count(*) FROM ok WHERE confidence = 'high') AS high, (SELECT count(*) FROM ok WHERE confidence = 'medium') AS medium,
+(SELECT count(*) FROM ok WHERE confidence = 'low') AS low, (SELECT count(*) FROM m WHERE date_of_birth IS NULL) AS records_without_dob, (SELECT count(*) FROM m WHERE first_name || last_name = '') AS records_without_name,
+(SELECT count(*) FROM m WHERE date_of_birth IS NULL AND first_name || last_name = '') AS unmatchable_records, (SELECT count(*) FROM (SELECT 1 FROM bl GROUP BY kind, k1, k2 HAVING count(*) > 100)) AS oversized_blocks_skipped""")
+def fuzzy_stats(spark, sf):
+    """The statistics of the review queue, as one row."""
+    stats = matching.find_fuzzy_duplicates(_matchable(spark, sf))[1]
+    by = stats.pop("by_confidence")
+    stats |= {k: by.get(k, 0) for k in ("high", "medium", "low")}
+    return spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in stats.items()))
 
-# People whose blocks keep their size as the table grows: four in a row share a date and letters of their number's hash.
-_GROUP = "CAST((p_partkey - p_partkey % 4) / 4 AS BIGINT)"
-_LETTERS = f"translate(md5(CAST({_GROUP} AS {{t}})), '0123456789abcdef', 'bcdfgklmnprstaei')"
-_KEYED = f"""SELECT CAST(p_partkey AS {{t}}) AS patient_id, CASE p_partkey % 4 WHEN 1 THEN substr(w, 8, 7) WHEN 2 THEN substr(w, 1, 7) || 'e' ELSE substr(w, 1, 7) END AS first_name,
-CASE p_partkey % 4 WHEN 1 THEN substr(w, 1, 7) WHEN 3 THEN substr(w, 15, 7) ELSE substr(w, 8, 7) END AS last_name,
-CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE {{add}}(DATE '1950-01-01', CAST({_GROUP} % 2900000 AS INT)) END AS date_of_birth, CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender FROM (SELECT p_partkey, {_LETTERS} AS w FROM part)"""
 
+_REPORT_DUCK = ", ".join(f"count(*) FILTER (d IS NOT NULL AND k % 17 {c}) AS {n}" for n, c in (("values_present", ">= 0"), ("parsed", "< 15"), ("unparseable", ">= 15")))
 
-def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_KEYED.format(t="STRING", add="date_add").replace("FROM part", "FROM {part}"), part=_t(spark, sf, "part"))
 
+@query(f"SELECT {_REPORT_DUCK}, count(*) FILTER (k % 17 < 15 AND d + to_years(CAST(k % 3 * 20 AS INTEGER)) > TIMESTAMP '{AS_OF}') AS century_corrections FROM (SELECT o_orderkey AS k, o_orderdate AS d FROM orders)")
+def date_report(spark, sf):
+    """What the report says of a column of birth dates in four-digit years, some of them in the future."""
+    from .plans.pipeline import _date_report
 
-def _keyed_sql(sql: str) -> str:
-    """The SQL of a dated query, over `_KEYED`."""
-    return sql.replace(_MATCH.format(t="VARCHAR", add="add"), _KEYED.format(t="VARCHAR", add="add"))
-
-
-def _keyed_duplicates(spark: SparkSession, sf: str, dated: bool) -> DataFrame:
-    rec = matching.records(_keyed(spark, sf), "patient_id")
-    return matching.pair_table(matching.scored(matching.candidates(matching.blocks(rec.where("_d is not null") if dated else rec))), "patient_id")
-
-
-@query(_keyed_sql(ORACLES["block_pairs"]))
-def keyed_block_pairs(spark, sf):
-    rec = matching.records(_keyed(spark, sf), "patient_id").where("_d is not null")
-    return matching.candidates(matching.blocks(rec)).select(F.col("_ka").alias("a"), F.col("_kb").alias("b"))
-
-
-@query(_keyed_sql(ORACLES["fuzzy_duplicates"]))
-def keyed_fuzzy_duplicates(spark, sf):
-    return _keyed_duplicates(spark, sf, True)
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_ym_interval((F.col("o_orderkey") % 3 * 20).cast("int"), F.lit(0))
+    s = F.when(F.col("o_orderkey") % 17 >= 15, "31/31/1999")
+    for i, f in enumerate(f for f, _ in _FORMATS[:13]):
+        s = s.when(F.col("o_orderkey") % 17 % 13 == i, F.date_format(at, f))
+    df = _t(spark, sf, "orders").select(s.alias("date_of_birth"))
+    out, used = op.standardize_dates(df, "dayfirst", AS_OF)
+    row = _date_report(df, out, used, AS_OF, Config())["date_of_birth"]
+    names = ("values_present", "parsed", "unparseable", "century_corrections")
+    return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@query(_keyed_sql(ORACLES["annotate_partners"]))
-def keyed_annotate_partners(spark, sf):
-    return matching.annotate(_keyed(spark, sf), _keyed_duplicates(spark, sf, True)).select("patient_id", "possible_duplicate_of")
+_COPIES = "SELECT c_nationkey % 5 AS k, c_mktsegment AS segment, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS nation, CASE WHEN c_custkey % 3 > 0 THEN DATE '2025-01-01' END AS admission_date FROM customer"
 
 
-@query()
-def keyed_fuzzy_all_blocks(spark, sf):
-    """All five block kinds, undated records too."""
-    return _keyed_duplicates(spark, sf, False)
+@query(f"WITH d AS ({_COPIES}) SELECT (SELECT count(*) FROM d) AS rows_in, (SELECT count(*) FROM d) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS exact_duplicate_rows_removed, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) - (SELECT count(*) FROM (SELECT DISTINCT k FROM d)) AS same_patient_rows_removed, (SELECT count(*) FROM (SELECT DISTINCT k FROM d)) AS rows_out")
+def duplicate_report(spark, sf):
+    df = spark.sql(_COPIES.replace("FROM customer", "FROM {customer}"), customer=_t(spark, sf, "customer"))
+    out, report = op.drop_duplicates(df, "k")
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} long" for k in report))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from pathlib import Path
 
@@ -10,22 +11,34 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import ORD
 
+OVER = "_tw_over"
 
-def exists(spark: SparkSession, path: str) -> bool:
+
+def _at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
 
 
 def load_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with the file order in `_ord`. Over-long rows and repeated headers are errors."""
+    """All columns as text, with the file order in `_ord`. Short rows lack their last cells; a row with more cells than the header is an error when read, a repeated header at once."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     head = spark.read.text(path).first()
-    names = [x.strip('"') for x in (head.value if head else "").split(",")]
+    names = next(csv.reader([head.value]), []) if head else []
     if len(set(names)) < len(names):
         raise ValueError(f"repeated header in {path}")
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return df.withColumn(ORD, F.monotonically_increasing_id())
+    if not names:
+        return spark.createDataFrame([], f"{ORD} long")
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, OVER])
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    fits = F.when(F.col(OVER).isNotNull(), F.raise_error(F.lit(f"a row of {path} has more cells than its header")).cast("boolean")).otherwise(F.lit(True))
+    return df.where(fits).drop(OVER).withColumn(ORD, F.monotonically_increasing_id())
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -34,15 +47,27 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[how[t](c).alias(c) if t in how else F.col(c) for c, t in df.dtypes])
 
 
-def write_output(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers; missing cells are empty."""
-    as_text(df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_output(df: DataFrame, path: str, header: bool = True) -> None:
+    """A folder of CSV parts; missing cells are empty."""
+    as_text(df).write.mode("overwrite").options(header=header, emptyValue="", quote='"', escape='"').csv(path)
 
 
 def write_single(df: DataFrame, path: str) -> None:
-    """One CSV file on the driver; for tables that fit there, such as a review queue."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    as_text(df).toPandas().to_csv(path, index=False)
+    """One CSV file: parts are written by the executors, then joined by the file system as streams."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    write_output(df, parts, header=False)
+    (at, fs), (folder, _) = _at(spark, path), _at(spark, parts)
+    jvm = spark.sparkContext._jvm
+    out = fs.create(at, True)
+    out.write(bytearray((",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') else c for c in df.columns) + "\n").encode()))
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(folder)):
+        if name.startswith("part-"):
+            part = fs.open(_at(spark, f"{parts}/{name}")[0])
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    out.close()
+    fs.delete(folder, True)
 
 
 def write_report(report: dict, path: str) -> None:
