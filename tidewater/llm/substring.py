@@ -231,8 +231,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     n = F.col(f"`{id_col}`").cast("long")
     src = docs.select(F.coalesce(n, F.lit(LAST)).alias("id"), n.isNull().alias("none"), common.text_of(text_col).cast("binary").alias("text"))
     raw = common.written(src.mapInArrow(_read, _DOC), "read")
-    firsts = raw.where(f"n_words >= {WINDOW}").groupBy("d1", "d2", "n_words").agg(F.min("id").alias("first"))
-    read = raw.join(firsts, ["d1", "d2", "n_words"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    whole = ["d1", "d2", "n_words"]
+    firsts = raw.where(f"n_words >= {WINDOW}").groupBy(*whole).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    limit = max(1, raw.count() // (HOT * common.slots(docs.sparkSession)))  # as in join_spread, but every row stays
+    marked = raw.join(F.broadcast(firsts.where(F.col("n") > limit).drop("n")), whole, "left")
+    rest = marked.where("first is null").drop("first").join(firsts.where((F.col("n") > 1) & (F.col("n") <= limit)).drop("n"), whole, "left")
+    read = marked.where("first is not null").unionByName(rest).withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     read = common.written(read.select("id", "none", "n_words", "d1", "d2", "sha", "copy", F.when(~F.col("copy"), F.col("fps")).otherwise(F.array().cast("array<long>")).alias("fps")), "read")
     common.release(docs.sparkSession)
     shared = shared_fingerprints(read.where("not copy").select("id", "fps"), batches)
