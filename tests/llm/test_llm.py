@@ -43,6 +43,27 @@ def test_simhash(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, ["same words here now", "same words here now", "other things"])).collect()} == {0, 2}
 
 
+@pytest.mark.parametrize("distance", [1, 3])
+def test_simhash_dense_families_keep_their_components(spark, distance):
+    rng = np.random.default_rng(9)
+    low, high = (int(x) for x in rng.integers(0, 1 << 31, 2))
+    near = [low ^ sum(1 << int(k) for k in set(rng.integers(0, 32, int(n)))) for n in rng.integers(0, 7, 150)]
+    # A family in either segment, one of whose members differ in a bit of the shared one, and single fingerprints.
+    fps = {high << 32 | x for x in near} | {x << 32 | high for x in near[:60]} | {(high ^ 1 << int(rng.integers(0, 31))) << 32 | x for x in near[:80]}
+    fps |= {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)}
+    fps = sorted(x - (1 << 64) if x >> 63 == 1 else x for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    pairs = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
+    root = {x: x for x in fps}
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()} if a != b else root
+    assert simhash.crowded_keys(df, 8).count() > 66
+    few = simhash.spanning_links(df, distance, 8)
+    assert {(r.a, r.b) for r in few.collect()} <= set(pairs)
+    assert {r.node: r.root for r in simhash.components(few).collect()} == {k: r for k, r in root.items() if k != r}
+
+
 def test_substring(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(400)]

@@ -10,6 +10,11 @@ once under the exact key. Candidates are verified by popcount in the join itself
 Copies never enter the index: it is built over distinct fingerprints. Components come from alternating
 large-star and small-star steps over links, all as joins and partial aggregates.
 
+Many fingerprints that share a segment make links with the square of their number. Components need fewer: where a
+segment value has more than `DENSE` / 2 fingerprints, the entries of its keys are cut once more by wildcards in the
+other segment (three places under an exact key, two under a wildcard one). All that then agree, at most eight, link with
+each other, so each meets the least of them: rows grow with the fingerprints and no component changes.
+
 Defined cases: null or blank text has fingerprint zero, linked like any other; fewer than three words hash as
 one shingle; rows with a null id belong to their component and never name it (an all-null component has a null
 id); repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
@@ -18,7 +23,7 @@ id); repeated rows each get a row; an empty table gives an empty result; extra c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,8 @@ SHINGLE = 3
 DISTANCE = 3
 #: Shingles of one text handled at once.
 CHUNK = 1 << 16
+#: Up to so many entries of a key are compared in pairs.
+DENSE = 4096
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -65,17 +72,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return d.mapInArrow(_fingerprints, "id long, fp long")
 
 
-def index_entries(fps: DataFrame) -> DataFrame:
+#: The key of a segment's value with the bit at place `at` masked; place 32 masks none.
+KEY = "shiftleft(bigint(seg * 64 + at), 32) | if(at < 32, value & ~shiftleft(1L, at), value)"
+
+
+def index_entries(fps: DataFrame, places: range = range(33)) -> DataFrame:
     """66 entries for a fingerprint `fp`: key long (segment, wildcard place, masked value), bit (null for exact)."""
-    e = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i")).select("fp", F.expr("int(i div 33)").alias("seg"), F.expr("i % 33").alias("at"))
+    i = F.array([F.lit(33 * seg + at) for seg in (0, 1) for at in places])
+    e = fps.select("fp", F.explode(i).alias("i")).select("fp", F.expr("int(i div 33)").alias("seg"), F.expr("i % 33").alias("at"))
     e = e.withColumn("value", F.expr("shiftrightunsigned(fp, 32 * seg) & 4294967295L"))
-    masked = F.expr("if(at < 32, value & ~shiftleft(1L, at), value)")
-    return e.select("fp", F.expr("shiftleft(bigint(seg * 64 + at), 32)").bitwiseOR(masked).alias("key"), F.expr("if(at < 32, tinyint(shiftrightunsigned(value, at) & 1L), null)").alias("bit"))
+    return e.select("fp", F.expr(KEY).alias("key"), F.expr("if(at < 32, tinyint(shiftrightunsigned(value, at) & 1L), null)").alias("bit"))
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All links between distinct fingerprints (column fp): a, b with a < b as signed longs; each once or twice."""
-    e = index_entries(fps)
+    return _pairs(index_entries(fps), distance)
+
+
+def _pairs(e: DataFrame, distance: int) -> DataFrame:
     left = e.where("bit is null or bit = 0").select(F.col("fp").alias("a"), "key", F.col("bit").alias("ba"))
     right = e.where("bit is null or bit = 1").select(F.col("fp").alias("b"), "key")
     # Under a wildcard key the sides differ in the bit, so each pair meets once; under an exact key order decides.
@@ -84,6 +98,32 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def crowded_keys(fps: DataFrame, dense: int = DENSE) -> DataFrame:
+    """The keys, exact and wildcard, of segment values with over `dense` / 2 fingerprints; any other key has at most `dense`."""
+    n = index_entries(fps, range(32, 33)).groupBy("key").count().where(F.col("count") > dense // 2)
+    v = n.select(F.expr("int(shiftright(key, 38))").alias("seg"), F.expr("key & 4294967295L").alias("value"), F.explode(F.sequence(F.lit(0), F.lit(32))).alias("at"))
+    return v.select(F.expr(KEY).alias("key")).distinct()
+
+
+def _stars(e: DataFrame, distance: int) -> DataFrame:
+    """Links that join what the entries' pairs join, by wildcards in the other segment; the masks are a table of fixed size."""
+    masks = [(wild, sum(1 << i for i in c)) for wild in (False, True) if distance >= wild for c in combinations(range(32), distance - wild)]
+    m = e.sparkSession.createDataFrame(masks, "wild boolean, mask long")
+    other = F.expr("shiftrightunsigned(fp, 32 * (1 - int(shiftright(key, 38)))) & 4294967295L").alias("other")
+    alike = e.select("fp", "key", F.col("bit").isNotNull().alias("wild"), other).join(F.broadcast(m), "wild")
+    groups = alike.groupBy("key", "mask", F.expr("other & ~mask").alias("rest")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
+
+
+def spanning_links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+    """Links (a, b) whose components are those of all links; no more in number than a multiple of the fingerprints."""
+    crowded = common.written(crowded_keys(fps, dense), "crowded")
+    if crowded.isEmpty():
+        return links(fps, distance)
+    e = index_entries(fps)
+    return _pairs(e.join(crowded, "key", "left_anti"), distance).unionByName(_stars(e.join(crowded, "key", "left_semi"), distance))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root for every node of `edges` (a, b): root is the smallest node reachable.
 
@@ -112,8 +152,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     fp = common.written(fingerprints(docs, text_col, id_col), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min("id").alias("rep"))
-    comp = components(links(nodes.select("fp"), distance))
+    nodes = common.written(fp.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    comp = components(spanning_links(nodes.select("fp"), distance))
     named = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(names, "root").select("fp", "component_id")
@@ -138,6 +178,6 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
     rows = common.written(docs.withColumn(mark, fp).withColumn(key, F.monotonically_increasing_id()), "rows")
     n = F.col(f"`{id_col}`").cast("long")
     nodes = common.written(rows.groupBy(F.col(mark).alias("fp")).agg(F.min(F.struct(n.isNull().alias("none"), n.alias("id"), F.col(key).alias("row"))).alias("first")), "nodes")
-    comp = components(links(nodes.select("fp"), distance))
+    comp = components(spanning_links(nodes.select("fp"), distance))
     roots = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     return rows.join(roots.select(F.col("first.row").alias(key)), key, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
