@@ -10,10 +10,11 @@ once under the exact key. Candidates are verified by popcount in the join itself
 Copies never enter the index: it is built over distinct fingerprints. Components come from alternating
 large-star and small-star steps over links, all as joins and partial aggregates.
 
-Many fingerprints that share a segment make links with the square of their number. Components need fewer: where a
-segment value has more than `DENSE` / 2 fingerprints, the entries of its keys are cut once more by wildcards in the
-other segment (three places under an exact key, two under a wildcard one). All that then agree, at most eight, link with
-each other, so each meets the least of them: rows grow with the fingerprints and no component changes.
+Fingerprints that share a key are compared in pairs, in one task a key and with the square of their number, though none
+has more than 5,488 links there. Where a segment value has more than `DENSE` / 2 fingerprints, the entries of its keys
+are cut once more by wildcards in the other segment instead (three places under an exact key, two under a wildcard one).
+All that then agree, at most eight, link with each other, so each meets the least of them: up to 4,960 rows an entry, on
+all tasks, and no component changes. That costs far more than pairs in small groups, so the bound is high.
 
 Defined cases: null or blank text has fingerprint zero, linked like any other; fewer than three words hash as
 one shingle; rows with a null id belong to their component and never name it (an all-null component has a null
@@ -37,8 +38,8 @@ SHINGLE = 3
 DISTANCE = 3
 #: Shingles of one text handled at once.
 CHUNK = 1 << 16
-#: Up to so many entries of a key are compared in pairs.
-DENSE = 4096
+#: Up to so many entries of a key are compared in pairs: a few minutes of one task.
+DENSE = 1 << 18
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -116,7 +117,7 @@ def _stars(e: DataFrame, distance: int) -> DataFrame:
 
 
 def spanning_links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
-    """Links (a, b) whose components are those of all links; no more in number than a multiple of the fingerprints."""
+    """Links (a, b) whose components are those of all links, without comparing all pairs of a crowded key."""
     crowded = common.written(crowded_keys(fps, dense), "crowded")
     if crowded.isEmpty():
         return links(fps, distance)
