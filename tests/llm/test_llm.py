@@ -64,6 +64,16 @@ def test_simhash_dense_families_keep_their_components(spark, distance):
     assert {r.node: r.root for r in simhash.components(few).collect()} == {k: r for k, r in root.items() if k != r}
 
 
+def test_simhash_gathers_no_growing_table_on_the_driver(spark, monkeypatch):
+    plans, was = [], common.written
+    plan_of = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "written", lambda d, *a: plans.append(plan_of(d)) or was(d, *a))
+    docs = frame(spark, [f"{i} words of text {i % 7}" for i in range(60)] + ["tie tie tie tie"] * 3)
+    plans += [plan_of(simhash.near_duplicates(docs)), plan_of(simhash.keep_one(docs))]
+    # Each table here is far below the bound at which Spark would broadcast it.
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
 def test_substring(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(400)]

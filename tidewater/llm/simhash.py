@@ -16,6 +16,9 @@ are cut once more by wildcards in the other segment instead (three places under
 All that then agree, at most eight, link with each other, so each meets the least of them: up to 4,960 rows an entry, on
 all tasks, and no component changes. That costs far more than pairs in small groups, so the bound is high.
 
+Joins of tables that grow with the input are sort-merge joins by hint: Spark doesn't count what explode adds, so it would
+take the exploded index for a small table and gather it on the driver.
+
 Defined cases: null or blank text has fingerprint zero, linked like any other; fewer than three words hash as
 one shingle; rows with a null id belong to their component and never name it (an all-null component has a null
 id); repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
@@ -95,7 +98,7 @@ def _pairs(e: DataFrame, distance: int) -> DataFrame:
     right = e.where("bit is null or bit = 1").select(F.col("fp").alias("b"), "key")
     # Under a wildcard key the sides differ in the bit, so each pair meets once; under an exact key order decides.
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("ba").isNotNull() | (F.col("a") < F.col("b")))
-    pairs = left.join(right, "key").where(near)
+    pairs = left.join(right.hint("merge"), "key").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -122,7 +125,7 @@ def spanning_links(fps: DataFrame, distance: int = DISTANCE, dense: int = DENSE)
     if crowded.isEmpty():
         return links(fps, distance)
     e = index_entries(fps)
-    return _pairs(e.join(crowded, "key", "left_anti"), distance).unionByName(_stars(e.join(crowded, "key", "left_semi"), distance))
+    return _pairs(e.join(crowded.hint("merge"), "key", "left_anti"), distance).unionByName(_stars(e.join(crowded.hint("merge"), "key", "left_semi"), distance))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -135,9 +138,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        small = large.join(low2.hint("merge"), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         nxt = common.written(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "links")
         now = nxt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         common.drop_written(cur)
@@ -155,10 +158,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     fp = common.written(fingerprints(docs, text_col, id_col), "fingerprints")
     nodes = common.written(fp.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
     comp = components(spanning_links(nodes.select("fp"), distance))
-    named = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(comp.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(names, "root").select("fp", "component_id")
-    return fp.join(labels, "fp", "left").select(
+    labels = named.join(names.hint("merge"), "root").select("fp", "component_id")
+    return fp.join(labels.hint("merge"), "fp", "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -180,5 +183,5 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
     n = F.col(f"`{id_col}`").cast("long")
     nodes = common.written(rows.groupBy(F.col(mark).alias("fp")).agg(F.min(F.struct(n.isNull().alias("none"), n.alias("id"), F.col(key).alias("row"))).alias("first")), "nodes")
     comp = components(spanning_links(nodes.select("fp"), distance))
-    roots = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(roots.select(F.col("first.row").alias(key)), key, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    roots = nodes.join(comp.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(roots.select(F.col("first.row").alias(key)).hint("merge"), key, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
