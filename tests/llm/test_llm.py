@@ -435,6 +435,40 @@ def test_quality_pools_small_strata_and_controls_false_rejection(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) and r.rejection_bound <= quality.ALPHA for r in got)
 
 
+def test_quality_rules_learn_from_every_label(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_LABELS", 500)
+    monkeypatch.setattr(quality, "MANY", 600)
+    rng = np.random.default_rng(12)
+    words = " ".join(f"w{j}" for j in range(60))
+    bangs, lang = rng.integers(0, 40, 6000) + 60 * (rng.random(6000) < 0.1), [("big", "small", None)[min(2, i % 50 // 24)] for i in range(6000)]
+    rows = [(i, f"{words} {i}" + " !" * int(b), s) for i, (b, s) in enumerate(zip(bangs, lang, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(b < 60)) for i, b in enumerate(bangs)], "doc_id long, quality int")
+    c = [quality.counts(t.encode()) for _, t, _ in rows]
+    x = np.array([[k[2] / k[0], k[3] / max(1, k[5]), k[4] / k[0], k[6] / k[1], k[7] / k[0]] for k in c])
+    ok = np.array([k[0] >= 50 and 100 * k[4] <= 50 * k[0] for k in c])
+    good, propose = bangs < 60, np.array([quality.proposes(i) for i in range(6000)])
+    of = {s: np.array([k == s for k in lang]) & ok for s in ("big", "small", None)}
+    group = quality.pooled({s: int((m & good & ~propose).sum()) for s, m in of.items()}, quality.ALPHA)
+    assert sum(m.sum() > 500 for m in of.values()) >= 2 and None in group.values()
+    got = quality.quality_rules(docs, labels).collect()
+    for g in set(group.values()):
+        m = np.any([of[s] for s in group if group[s] == g], axis=0)
+        cut, bound = quality.certify(x[m], good[m], propose[m], quality.DELTA / len(set(group.values())))
+        for r in got:
+            if m[r.doc_id]:
+                assert r.kept == (cut is None or not (x[r.doc_id] > cut).any()) and r.rejection_bound == (None if cut is None else bound)
+
+
+def test_quality_quantiles_are_of_all_values(spark):
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 9, 700, 12_000):
+        v = np.stack([rng.exponential(1, n), np.zeros(n), rng.integers(0, 3, n) / 7, np.sort(rng.random(n)), rng.integers(0, n, n) / n], 1)
+        df = spark.createDataFrame([(0, j, float(a)) for row in v for j, a in enumerate(row)], "g int, j int, v double")
+        top, some = quality.quantiles(df)[0]
+        assert (top == v.max(0)).all() and all((q == np.quantile(v, 1 - s, axis=0)).all() for q, s in zip(some, quality.SHARES, strict=True))
+
+
 def test_quality_defined_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     docs = spark.createDataFrame([(None, None, None, 1), (1, "a " * 70, None, 2), (1, "b c d e f g " * 30, "en", 3), (2, " ".join(f"w{i}" for i in range(20_000)), "en", 4)], "doc_id long, text string, lang string, _tw_quality int")

@@ -10,8 +10,10 @@ even a cutoff without a false rejection are tested together, as one stratum; thi
 and the bound then holds for their mixture. A stratum without labels, or whose test fails, rejects nothing beyond the
 base rule.
 
-The labelled sample is bounded by about `MAX_LABELS` ids of each stratum, those whose hash lies below the share that
-brings so many; all else covers every row.
+The rules are fitted by `fit_all` to every labelled id: a document is counted once and its counts written; largest
+values, quantiles (of all values, by their exact ranks) and the tests' numbers are aggregates, so the driver holds a
+few figures a stratum, whatever the number of labels. `fit` does the same in memory on about `MAX_LABELS` ids of each
+stratum, for tables at hand; no query calls it.
 
 Defined cases: null text has no words and fails the base rule; a null stratum is its own stratum; an id counts once,
 as good if any of its labels is, with the least stratum and ratios of its rows; without labels only the base rule
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -113,9 +115,24 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 
 def path(good: np.ndarray) -> list[np.ndarray]:
-    """Cutoff vectors from lenient to strict, from the proposing half's good documents (rows of ratios)."""
-    top = good.max(0)
-    return [top * m + 0.01 * m for m in MARGINS] + [np.minimum(top, np.quantile(good, 1 - s, axis=0)) for s in SHARES]
+    """Cutoff vectors from lenient to strict, from the proposing quarter's good documents (rows of ratios)."""
+    return path_of(good.max(0), [np.quantile(good, 1 - s, axis=0) for s in SHARES])
+
+
+def path_of(top: np.ndarray, quantiles: list[np.ndarray]) -> list[np.ndarray]:
+    return [top * m + 0.01 * m for m in MARGINS] + [np.minimum(top, q) for q in quantiles]
+
+
+def walk(cuts: list[np.ndarray], false: list[int], caught: list[int], n: int, delta: float, alpha: float) -> tuple[np.ndarray | None, float]:
+    """The chosen of a path's cutoff vectors (None: nothing certified) and its bound; false: what each rejects of n good test documents; caught: what of junk."""
+    best, most, bound_of = None, -1, 1.0
+    for cut, k, hits in zip(cuts, false, caught, strict=True):
+        bound = upper_bound(k, n, delta)
+        if bound > alpha:
+            break
+        if hits > most:
+            best, most, bound_of = cut, hits, bound
+    return best, bound_of
 
 
 def certify(x: np.ndarray, good: np.ndarray, propose: np.ndarray, delta: float, alpha: float = ALPHA) -> tuple[np.ndarray | None, float]:
@@ -123,15 +140,9 @@ def certify(x: np.ndarray, good: np.ndarray, propose: np.ndarray, delta: float,
     test = x[good & ~propose]
     if not (good & propose).any() or not len(test):
         return None, 1.0
-    best, caught, bound_of = None, -1, 1.0
-    junk = x[~good]
-    for cut in path(x[good & propose]):
-        bound = upper_bound(int((test > cut).any(1).sum()), len(test), delta)
-        if bound > alpha:
-            break
-        if (n := int((junk > cut).any(1).sum())) > caught:
-            best, caught, bound_of = cut, n, bound
-    return best, bound_of
+    cuts, junk = path(x[good & propose]), x[~good]
+    over = lambda some: [int((some > cut).any(1).sum()) for cut in cuts]
+    return walk(cuts, over(test), over(junk), len(test), delta, alpha)
 
 
 def proposes(i: int) -> bool:
@@ -139,6 +150,10 @@ def proposes(i: int) -> bool:
     return (i * 2654435761 >> 16) % 4 == 0
 
 
+#: The same in SQL: only the lowest 18 bits of the id tell.
+PROPOSES = "shiftright((_lid & 262143L) * 2654435761L, 16) & 3L = 0"
+
+
 def pooled(sizes: dict, alpha: float) -> dict:
     """stratum -> the group that it is tested in: itself (as a pair), or None for those that can certify nothing alone."""
     own = set(sizes)
@@ -181,6 +196,77 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     return {s: found[g] for s, g in group.items() if g in found}
 
 
+#: From so many values on, ranks are sought among the values from this percentile up (the highest shares, with room for its error) only.
+MANY, HIGH, ERROR = 10_000, 0.99, 10_000
+
+
+def places(n: int) -> list[tuple[int, int, float]]:
+    """For each of SHARES, the two ranks (from the largest of n values, which is 0) between which the quantile lies, and how far it is from the first to the second."""
+    out = []
+    for s in SHARES:
+        at = (n - 1) * (1 - s)
+        low = math.floor(at)
+        out.append((n - 1 - low, n - 1 - min(low + 1, n - 1), at - low))
+    return out
+
+
+def quantiles(values: DataFrame) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
+    """group g -> the largest value of each ratio and its quantiles at 1 - SHARES, of all values (g, j, v)."""
+    spark = values.sparkSession
+    tops = values.groupBy("g", "j").agg(F.max("v").alias("top"), F.count("v").alias("n"), F.percentile_approx("v", HIGH, ERROR).alias("high")).collect()
+    if not tops:
+        return {}
+    wanted = [(r.g, r.j, r.high if r.n >= MANY else -1.0, sorted({k for lo, hi, _ in places(r.n) for k in (lo, hi)})) for r in tops]
+    some = values.join(F.broadcast(spark.createDataFrame(wanted, "g int, j int, high double, ranks array<long>")), ["g", "j"]).where("v >= high")
+    tally = some.groupBy("g", "j", "v").agg(F.count("v").alias("c"), F.first("ranks").alias("ranks"))
+    upto = F.sum("c").over(Window.partitionBy("g", "j").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = tally.withColumn("upto", upto).withColumn("ranks", F.expr("filter(ranks, r -> r < upto and r >= upto - c)")).where("size(ranks) > 0")
+    at = {(r.g, r.j, k): r.v for r in hit.collect() for k in r.ranks}
+    out: dict = {}
+    for r in sorted(tops, key=lambda r: (r.g, r.j)):
+        top, rest = out.setdefault(r.g, ([], [[] for _ in SHARES]))
+        top.append(r.top)
+        for held, (lo, hi, t) in zip(rest, places(r.n), strict=True):
+            held.append(np.quantile(np.array([at[r.g, r.j, lo], at[r.g, r.j, hi]]), t))
+    return {g: (np.array(top), [np.array(q) for q in rest]) for g, (top, rest) in out.items()}
+
+
+def fit_all(d: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> dict:
+    """stratum -> (cutoffs, bound on false rejection), from every labelled id. d: _lid long, _stratum string, _c as `with_counts` gives it."""
+    lab = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_lid")).agg(F.max(F.col("quality").cast("int") == 1).alias("good"))
+    s, q = F.col("_stratum"), F.col("_c")
+    m = F.struct(s.isNull().alias("none"), s.alias("s"), base_failed(q).alias("failed"), F.array(*ratios(q)).alias("x")).alias("_m")
+    one = d.where("_lid is not null").select("_lid", m).join(lab.hint("merge"), "_lid").groupBy("_lid", "good").agg(F.min("_m").alias("_m"))
+    one = common.written(one.where("not _m.failed").select("good", F.expr(PROPOSES).alias("propose"), "_m.s", "_m.x"), "labelled")
+    sizes = {r.s: r.n for r in one.groupBy("s").agg(F.count_if(F.expr("good and not propose")).alias("n")).collect()}
+    group = pooled(sizes, alpha)
+    groups = sorted(set(group.values()), key=str)
+    if not groups:
+        return {}
+    g = F.lit(groups.index(None) if None in groups else -1)
+    for k, of in enumerate(groups):
+        g = g if of is None else F.when(F.col("s").eqNullSafe(F.lit(of[0])), k).otherwise(g)
+    one = one.withColumn("g", g)
+    paths = {k: path_of(*found) for k, found in quantiles(one.where("good and propose").select("g", F.posexplode("x").alias("j", "v"))).items()}
+    if not paths:
+        return {}
+    table = one.sparkSession.createDataFrame([(k, [[float(c) for c in cut] for cut in cuts]) for k, cuts in paths.items()], "g int, cuts array<array<double>>")
+    # How many of the path's cutoffs reject a row isn't enough, as quantiles of ratios need not fall together; each is counted.
+    over = one.join(F.broadcast(table), "g").select("g", "good", "propose", F.expr("transform(cuts, c -> exists(zip_with(x, c, (a, b) -> a > b), y -> y))").alias("over"))
+    steps = range(len(MARGINS) + len(SHARES))
+    test = F.expr("good and not propose")
+    counted = over.groupBy("g").agg(
+        F.count_if(test).alias("n"), F.array(*(F.count_if(test & F.col("over")[k]) for k in steps)).alias("false"), F.array(*(F.count_if(~F.col("good") & F.col("over")[k]) for k in steps)).alias("caught")
+    )
+    found = {}
+    for r in counted.collect():
+        if r.n:
+            cut, bound = walk(paths[r.g], r.false, r.caught, r.n, DELTA / len(groups), alpha)
+            if cut is not None:
+                found[groups[r.g]] = ([float(c) for c in cut], bound)
+    return {k: found[of] for k, of in group.items() if of in found}
+
+
 def verdict(q: Column, stratum: Column, cuts: dict) -> Column:
     """True where no ratio is above its stratum's cutoff."""
     bad = F.lit(False)
@@ -202,10 +288,11 @@ def bound_of(stratum: Column, cuts: dict) -> Column:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str | None = "lang", alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejection_bound."""
-    cuts = fit(docs, labels, text_col, id_col, stratum_col, alpha)
     stratum = F.col(f"`{stratum_col}`").cast("string") if stratum_col in docs.columns else F.lit(None).cast("string")
     d = with_counts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), stratum.alias("_stratum"), F.col(f"`{text_col}`").alias("_text")), "_text")
+    d = common.written(d.drop("_text"), "counts")
     q, s = F.col("_quality"), F.col("_stratum")
+    cuts = fit_all(d.select(F.col("doc_id").cast("long").alias("_lid"), s, q.alias("_c")), labels, alpha)
     fields = [q[f].alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return d.select("doc_id", *fields, base_failed(q).alias("base_failed"), (~base_failed(q) & verdict(q, s, cuts)).alias("kept"), bound_of(s, cuts).alias("rejection_bound"))
 
