@@ -458,6 +458,7 @@ def test_quality_rules_learn_from_every_label(spark, monkeypatch):
         for r in got:
             if m[r.doc_id]:
                 assert r.kept == (cut is None or not (x[r.doc_id] > cut).any()) and r.rejection_bound == (None if cut is None else bound)
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {r.doc_id for r in got if r.kept}
 
 
 def test_quality_quantiles_are_of_all_values(spark):

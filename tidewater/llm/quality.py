@@ -298,9 +298,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str | None = "lang", alpha: float = ALPHA) -> DataFrame:
-    """`docs` with its columns, without the documents that the rules reject; no shuffle beyond the labelled sample's."""
-    cuts = fit(docs, labels, text_col, id_col, stratum_col, alpha)
+    """`docs` with its columns, without the documents that the rules reject; rows are written once with their counts, and no text is shuffled."""
     stratum = F.col(f"`{stratum_col}`").cast("string") if stratum_col in docs.columns else F.lit(None).cast("string")
     name = common.free_name(docs, "_tw_quality")
     q = F.col(f"`{name}`")
-    return with_counts(docs, text_col, name).where(~base_failed(q) & verdict(q, stratum, cuts)).select([F.col(f"`{c}`") for c in docs.columns])
+    d = common.written(with_counts(docs, text_col, name), "rows")
+    cuts = fit_all(d.select(F.col(f"`{id_col}`").cast("long").alias("_lid"), stratum.alias("_stratum"), q.alias("_c")), labels, alpha)
+    return d.where(~base_failed(q) & verdict(q, stratum, cuts)).select([F.col(f"`{c}`") for c in docs.columns])
