@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import bpe, common, exact_dedup, html, licenses, lm, packing, quality, secrets, simhash, substring
@@ -322,6 +323,14 @@ def test_lm_scores_each_id_once_whatever_the_batch():
         assert s == pytest.approx(want, rel=1e-4) and model.score([t])[0] == pytest.approx(s, rel=1e-5)
 
 
+def test_lm_steps_are_small_and_whole():
+    texts = pa.array(["word " * (200 * (i % 9)) for i in range(8000)])
+    got = list(lm.steps(texts))
+    assert got[0][0] == 0 and got[-1][1] == 8000 and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert texts.nbytes > 32e6 and all(texts.slice(a, b - a).nbytes < 5e6 for a, b in got)
+    assert sum(len(lm.words_of(texts.slice(a, b - a))[0]) for a, b in got) == sum(200 * (i % 9) for i in range(8000))
+
+
 def test_lm_handles_nulls_long_words_and_empty_tables(spark, monkeypatch):
     assert lm.score(frame(spark, ["a"]).limit(0)).count() == 0
     long = "y" * 300
