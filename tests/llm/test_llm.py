@@ -331,6 +331,31 @@ def test_lm_steps_are_small_and_whole():
     assert sum(len(lm.words_of(texts.slice(a, b - a))[0]) for a, b in got) == sum(200 * (i % 9) for i in range(8000))
 
 
+def test_lm_attention_is_zero_for_later_places_and_has_no_denormal_numbers():
+    rng = np.random.default_rng(4)
+    model = lm.Model(rng.integers(0, 50, lm.N_IDS).astype(float), rng)
+    x = model.in_class[rng.integers(0, lm.N_IDS, (3, lm.CONTEXT))]
+    f = model.states(x)[1][1]
+    assert (f[:, model.later] == 0).all() and (f[:, ~model.later] > 2**-62).all()
+    assert lm.soft(np.full(3, -1e12, np.float32)).min() >= 2**-62
+
+
+def test_lm_encodes_a_frequent_word_once(monkeypatch):
+    calls = []
+    real = lm.word_ids
+    monkeypatch.setattr(lm, "word_ids", lambda words, *a: calls.append(list(words)) or real(words, *a))
+    ids_of, opens = lm._ids(common.tokenizer_file(lm.TOKENIZER))
+    long = "y" * 300
+    head = lm.Head({"often": 2.0, lm.word_keys([long])[0]: 1.5, "a\u00a0b": 1.0})
+    for text in (["often rare often", f"{long} often"], [f"rare {long} a\u00a0b often", ""]):
+        codes, words, ends = lm.words_of(pa.array(text))
+        places = head.places(lm.word_keys(words))
+        got = lm.subwords(codes, ends, *head.encode(words, places, ids_of, opens))
+        want = [np.append(np.concatenate([ids_of(" " + w) for w in t.split(" ") if w] or [[]]), lm.END).astype("<u2").tobytes() for t in text]
+        assert got == want and np.isnan(head.logs[places]).tolist() == [w == "rare" for w in words]
+    assert [w for c in calls for w in c if w != "rare"] == ["often", long, "a\u00a0b"]
+
+
 def test_lm_handles_nulls_long_words_and_empty_tables(spark, monkeypatch):
     assert lm.score(frame(spark, ["a"]).limit(0)).count() == 0
     long = "y" * 300

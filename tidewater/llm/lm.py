@@ -1,7 +1,7 @@
 """Language-model scoring: word statistics over the whole corpus and a causal self-attention model.
 
 Word counts cover every training document. The most frequent words, at most HEAD_WORDS of them, are broadcast; every
-other word meets its count in a join whose keys are rarer than each of those, so no key is hot. Words longer than
+other word is counted where its rows meet, whose keys are rarer than each of those, so no key is hot. Words longer than
 WORD_BYTES are known by a 128-bit digest, so the broadcast is bounded in bytes too.
 
 The model reads the subword ids of the text's words (ASCII letters lower-cased, a space before each) and an end id, so
@@ -35,7 +35,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from numpy.lib.stride_tricks import as_strided
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -56,9 +57,12 @@ START_WINDOWS, EPOCHS, BATCH, RATE = 24_000, 3, 256, 0.02
 PASS_RATE, PASS_SLOWS, DEEP, HELD_IDS = 0.008, 200, 6, 1 << 18
 #: Places that one step of scoring holds.
 CHUNK = 8192
-#: Of `soft`: what one unit of a logit adds to a float's bits, the bits of 1.0, and the range kept.
+#: Of `soft`: what one unit of a logit adds to a float's bits, the bits of 1.0, and the range kept: products of a few
+#: values stay normal numbers, as denormal ones cost a hundred times as much on many machines. NEVER gives zero.
 UNIT = np.float32(1 << 23)
-ONE, LEAST, MOST = np.float32(127) * UNIT, np.float32(7) * UNIT, np.float32(247) * UNIT
+ONE, LEAST, MOST, NEVER = np.float32(127) * UNIT, np.float32(67) * UNIT, np.float32(187) * UNIT, np.float32(-(1 << 50))
+TINY = np.float32(2**-100)
+OUTER = frozenset(("out", "out2", "out3"))
 
 
 def source(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -147,27 +151,67 @@ def word_ids(text: list[str], ids_of: Ids, opens: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
-def subwords(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
-    """Packed ids (unsigned 16-bit) of each text, with the end id, from `words_of` and `word_ids`."""
-    n = len(begins) - 1  # the code of the end
-    ids, begins = np.append(ids, END).astype(np.uint16), np.append(begins, begins[-1] + 1)
+def subwords(codes: np.ndarray, ends: np.ndarray, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Packed ids (unsigned 16-bit) of each text, with the end id, from `words_of` and where in ids those of each word begin, and how many they are."""
+    n = len(begins)  # the code of the end
+    ids, begins, sizes = np.append(ids, np.uint16(END)), np.append(begins, len(ids)), np.append(sizes, 1)
     codes = np.insert(codes.astype(np.int64), ends[1:], n)
-    size = np.diff(begins)[codes]
+    size = sizes[codes]
     stop = np.cumsum(size)
     out = ids[np.arange(stop[-1]) + np.repeat(begins[codes] - (stop - size), size)].tobytes() if len(codes) else b""
     cut = (2 * np.concatenate([[0], stop[ends[1:] + np.arange(len(ends) - 1)]])).tolist()
     return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def soft(t: np.ndarray) -> np.ndarray:
-    """2 ** z, linear between whole z, given t = z * UNIT + ONE; overwrites t."""
-    np.clip(t, LEAST, MOST, out=t)
-    return t.astype(np.int32).view(np.float32)
+class Head:
+    """The most frequent words: the logarithm of each one's count, and its ids once a worker has met it."""
+
+    def __init__(self, logs: dict[str, float]):
+        self.at = dict(zip(logs, range(len(logs)), strict=True))
+        self.logs = np.array([*logs.values(), np.nan])  # the last is of all other words
+        self.ids, self.begins, self.sizes = np.zeros(0, np.uint16), np.full(len(logs), -1), np.zeros(len(logs), np.int64)
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        get = self.at.get
+        return np.array([get(k, -1) for k in keys], np.int64)
+
+    def encode(self, words: list[str], at: np.ndarray, ids_of: Ids, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin and how many they are, given the words' places; each frequent word is encoded once."""
+        known = at >= 0
+        new = np.flatnonzero(known)
+        new = new[self.begins[at[new]] < 0]
+        if len(new):
+            ids, begins = word_ids([words[i] for i in new.tolist()], ids_of, opens)
+            self.begins[at[new]], self.sizes[at[new]] = begins[:-1] + len(self.ids), np.diff(begins)
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+        all_ids, first, size = self.ids, np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[known], size[known] = self.begins[at[known]], self.sizes[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, begins = word_ids([words[i] for i in new.tolist()], ids_of, opens)
+            first[new], size[new] = begins[:-1] + len(all_ids), np.diff(begins)
+            all_ids = np.concatenate([all_ids, ids.astype(np.uint16)])
+        return all_ids, first, size
+
+
+def soft(t: np.ndarray, least: np.float32 = LEAST) -> np.ndarray:
+    """2 ** z, linear between whole z, given t = z * UNIT + ONE."""
+    out = np.empty(t.shape, np.int32)
+    np.clip(t, least, MOST, out=out, casting="unsafe")
+    return out.view(np.float32)
 
 
 def slope(f: np.ndarray) -> np.ndarray:
-    """The derivative of `soft` by z where it is f."""
-    return (f.view(np.int32) & np.int32(0x7F800000)).view(np.float32)
+    """The derivative of `soft` by z where it is f; overwrites f."""
+    bits = f.view(np.int32)
+    bits &= np.int32(0x7F800000)
+    return f
+
+
+def picked(f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """f's value in each row at the given place, and where that is in f laid flat."""
+    i = np.arange(0, f.size, f.shape[1]) + at
+    return f.reshape(-1)[i], i
 
 
 class Model:
@@ -202,30 +246,48 @@ class Model:
         self.ready: dict | None = None
 
     def layers(self) -> dict[str, np.ndarray]:
-        """Weights in the units of `soft`."""
-        if self.ready is None:
-            p, w = self.p, {k: self.p[k] * UNIT for k in ("mix", "out", "out2", "out3")}
-            for k in ("out", "out2", "out3"):
-                w[k][..., -1, :] += ONE
-            w["rel"] = np.where(self.later, np.float32(0), p["rel"][self.back] * UNIT + ONE)
-            self.ready = w
-        return self.ready
+        """Weights in the units of `soft`, kept until they change."""
+        p, w = self.p, self.ready or {}
+        for k in OUTER - w.keys():
+            w[k] = p[k] * UNIT
+            w[k][..., -1, :] += ONE
+        if "query" not in w:
+            # What each input class is as a query, by its value and on the residual path; the place of ones in `value` sums the attention.
+            w["query"], w["value"], w["self"] = p["emb"] @ (p["mix"] * UNIT), p["emb"] @ p["val"], p["emb"].copy()
+            w["value"][:, -1], w["self"][:, -1] = 1, 0
+            w["rel"] = np.where(self.later, NEVER, p["rel"][self.back] * UNIT + ONE)
+        self.ready = w
+        return w
 
     def states(self, x: np.ndarray, since: int = 0):
         """x: windows of input classes, the id before each scored one. States (rows) from place `since` on, and what led there."""
         p, w, n = self.p, self.layers(), len(x)
-        e = p["emb"].take(x.reshape(-1), 0).reshape(n, CONTEXT, DIM)
-        late = e[:, since:]
-        q = (late.reshape(-1, DIM) @ w["mix"]).reshape(n, CONTEXT - since, DIM)
-        f = np.matmul(q, e.transpose(0, 2, 1))
+        late, at = x[:, since:].reshape(-1), x.reshape(-1)
+        e = p["emb"].take(at, 0).reshape(n, CONTEXT, DIM)
+        f = np.matmul(w["query"].take(late, 0).reshape(n, CONTEXT - since, DIM), np.ascontiguousarray(e.transpose(0, 2, 1)))
         f += w["rel"][since:]
-        f = soft(f)
-        c = np.matmul(f, e).reshape(-1, DIM)
-        total = c[:, -1:].copy()  # of the attention's shares, as each embedding ends in 1
-        c /= total
-        h = c @ p["val"]
-        h += late.reshape(-1, DIM)
-        return h, (e, f, total, c)
+        f = soft(f, np.float32(0))  # zero for places that come later
+        h = np.matmul(f, w["value"].take(at, 0).reshape(n, CONTEXT, DIM)).reshape(-1, DIM)
+        part = 1 / np.maximum(h[:, -1:], TINY)
+        h *= part
+        h += w["self"].take(late, 0)
+        return h, (e, f, part)
+
+    def block_states(self, x: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """x: blocks of STRIDE input classes. States (rows) of those after the first, as in a window with the block before; where one opens a text, of itself only."""
+        w, n, at = self.layers(), len(opens), x.reshape(-1)
+        late = at[STRIDE:]
+        step, item = STRIDE * DIM * 4, 4
+        keys = np.ascontiguousarray(self.p["emb"].take(at, 0).T)
+        keys = as_strided(keys, (n, DIM, CONTEXT), (STRIDE * item, keys.strides[0], item))
+        f = np.matmul(w["query"].take(late, 0).reshape(n, STRIDE, DIM), keys)
+        f += w["rel"][STRIDE:]
+        f = soft(f, np.float32(0))
+        f[opens, :, :STRIDE] = 0
+        h = np.matmul(f, as_strided(w["value"].take(at, 0), (n, CONTEXT, DIM), (step, DIM * item, item))).reshape(-1, DIM)
+        h *= 1 / np.maximum(h[:, -1:], TINY)
+        h += w["self"].take(late, 0)
+        return h
 
     def heads(self, h: np.ndarray, ids: np.ndarray):
         """Rows by their id's class (without those of id -1), where each class begins, states in this order, and the values of classes, of the members of the head's classes and of the groups of the last."""
@@ -243,7 +305,7 @@ class Model:
         """log2 probability of ids given states h, and the rows that they belong to (none where the id is -1)."""
         order, ends, _, one, two, three = self.heads(h, ids)
         ids = ids[order]
-        share = lambda f, at: f[np.arange(len(f)), at] / (f @ np.ones(f.shape[1], np.float32))
+        share = lambda f, at: picked(f, at)[0] / (f @ np.ones(f.shape[1], np.float32))
         member, head = self.member[ids], int(ends[CLASSES])
         out = np.log2(share(one, self.cls[ids]))
         out[:head] += np.log2(share(two, member[:head]))
@@ -253,47 +315,52 @@ class Model:
     def grads(self, x: np.ndarray, y: np.ndarray, deep: bool = True) -> dict[str, np.ndarray]:
         """Of the mean -log2 probability of ids y (-1: none); of the output layers only unless `deep`."""
         p, flat = self.p, y.reshape(-1)
-        h, (e, f, total, c) = self.states(x)
+        h, (e, f, part) = self.states(x)
         order, ends, s, one, two, three = self.heads(h, flat)
         ids, head = flat[order], int(ends[CLASSES])
         member, share = self.member[ids], np.float32(1 / (max(1, len(ids)) * math.log(2)))
 
-        def d_soft(f: np.ndarray, at: np.ndarray) -> np.ndarray:
-            i = np.arange(len(f))
-            d = slope(f)
-            mine = d[i, at] / f[i, at] * share
-            d *= (share / (f @ np.ones(f.shape[1], np.float32)))[:, None]
-            d[i, at] -= mine
-            return d
+        def d_soft(f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """What rows of the derivative by logits are before each is multiplied by its factor, and the factors."""
+            total = f @ np.ones(f.shape[1], np.float32)
+            mine, i = picked(f, at)
+            z = slope(f)
+            z.reshape(-1)[i] *= 1 - total / mine
+            return z, (share / total)[:, None]
 
-        z1, z2, z3 = d_soft(one, self.cls[ids]), d_soft(two, member[:head]), d_soft(three, member[head:])
-        out2, some = np.zeros_like(p["out2"]), np.flatnonzero(np.diff(ends[:-1])).tolist()
+        (z1, m1), (z2, m2), (z3, m3) = d_soft(one, self.cls[ids]), d_soft(two, member[:head]), d_soft(three, member[head:])
+        out2, s2, some = np.zeros_like(p["out2"]), s[:head] * m2, np.flatnonzero(np.diff(ends[:-1])).tolist()
         for k in some:
-            np.matmul(s[ends[k] : ends[k + 1]].T, z2[ends[k] : ends[k + 1]], out=out2[k])
-        out = {"out": s.T @ z1, "out2": out2, "out3": s[head:].T @ z3}
+            np.matmul(s2[ends[k] : ends[k + 1]].T, z2[ends[k] : ends[k + 1]], out=out2[k])
+        out = {"out": (s * m1).T @ z1, "out2": out2, "out3": (s[head:] * m3).T @ z3}
         if not deep:
             return out
         d = np.empty_like(s)
         for k in some:
             np.matmul(z2[ends[k] : ends[k + 1]], p["out2"][k].T, out=d[ends[k] : ends[k + 1]])
         np.matmul(z3, p["out3"].T, out=d[head:])
-        d += z1 @ p["out"].T
+        d[:head] *= m2
+        d[head:] *= m3
+        one = z1 @ p["out"].T
+        one *= m1
+        d += one
         dh = np.zeros_like(h)
         dh[order] = d
+        c = np.matmul(f, e).reshape(-1, DIM)
+        c *= part
         out["val"] = c.T @ dh
         out["val"][:, -1] = 0
-        dc = (dh @ p["val"].T).reshape(e.shape)
-        part = 1 / total.reshape(len(x), CONTEXT, 1)
-        df = np.matmul(dc, e.transpose(0, 2, 1))
-        df -= np.einsum("ijk,ijk->ij", dc, c.reshape(e.shape))[:, :, None]
+        dc = dh @ p["val"].T
+        dc *= part
+        de = np.matmul(f.transpose(0, 2, 1), dc.reshape(e.shape)).reshape(-1, DIM)
+        dc[:, -1] -= np.einsum("ij,ij->i", dc, c)  # as each embedding ends in 1
+        df = np.matmul(dc.reshape(e.shape), e.transpose(0, 2, 1))
         df *= slope(f)
-        df *= part
-        df *= ~self.later
-        f *= part
-        dq = np.matmul(df, e)
-        w = (e.reshape(-1, DIM) @ p["mix"]).reshape(e.shape)
-        dh += (np.matmul(f.transpose(0, 2, 1), dc) + dq @ p["mix"].T + np.matmul(df.transpose(0, 2, 1), w)).reshape(-1, DIM)
-        out["mix"] = e.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        dq, q = np.matmul(df, e).reshape(-1, DIM), (e.reshape(-1, DIM) @ p["mix"]).reshape(e.shape)
+        dh += de
+        dh += dq @ p["mix"].T
+        dh += np.matmul(df.transpose(0, 2, 1), q).reshape(-1, DIM)
+        out["mix"] = e.reshape(-1, DIM).T @ dq
         out["rel"] = np.bincount(self.back.reshape(-1), weights=df.sum(0).reshape(-1), minlength=CONTEXT).astype(np.float32)
         flat_x = x.reshape(-1)
         by = np.argsort(flat_x, kind="stable")
@@ -315,28 +382,15 @@ class Model:
                 adam.step(x[order[i : i + batch]], y[order[i : i + batch]], RATE * (1 - 0.95 * t / total))
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each id sequence; windows of all texts are batched together."""
-        lens = np.array([len(t) for t in texts])
-        ids = np.concatenate(texts).astype(np.int32)
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        x_all = np.empty(len(ids), np.int16)
-        x_all[1:] = self.in_class[ids[:-1]]
-        x_all[starts] = self.in_class[END]
-        # First windows score all they hold, later ones their last STRIDE ids; a short window is padded at its end.
-        more = -(-np.maximum(lens - CONTEXT, 0) // STRIDE)
-        late = np.repeat(np.arange(len(texts)), more)
-        nth = np.arange(len(late)) - np.repeat(np.cumsum(more) - more, more)
-        total, place = np.zeros(len(texts)), np.arange(CONTEXT)
-        for since, owner, begin in ((0, np.arange(len(texts)), starts), (CONTEXT - STRIDE, late, starts[late] + (nth + 1) * STRIDE)):
-            stop, many = (starts + lens)[owner], CHUNK // (CONTEXT - since)
-            for i in range(0, len(owner), many):
-                w = slice(i, i + many)
-                at = begin[w, None] + place
-                h, _ = self.states(x_all.take(at, mode="clip"), since)
-                at = at[:, since:]
-                y = np.where(at < stop[w, None], ids.take(at, mode="clip"), -1).reshape(-1)
-                lp, order = self.log_probs(h, y)
-                total += np.bincount(owner[w][order // (CONTEXT - since)], weights=lp, minlength=len(texts))
+        """log10 probability of each id sequence; blocks of STRIDE ids of all texts are batched together, each with the one before it."""
+        x, y = windows(self, texts, STRIDE)
+        owner = np.repeat(np.arange(len(texts)), -(-np.array([len(t) for t in texts], np.int64) // STRIDE))
+        opens = np.diff(owner, prepend=-1) > 0
+        x, total = np.concatenate([np.zeros((1, STRIDE), x.dtype), x]), np.zeros(len(texts))
+        for i in range(0, len(y), CHUNK // STRIDE):
+            part = slice(i, i + CHUNK // STRIDE)
+            lp, order = self.log_probs(self.block_states(x[i : part.stop + 1], opens[part]), y[part].reshape(-1))
+            total += np.bincount(owner[part][order // STRIDE], weights=lp, minlength=len(texts))
         return total * math.log10(2)
 
 
@@ -353,13 +407,13 @@ class Adam:
             m += np.float32(0.1) * (g - m)
             u += np.float32(0.02) * (g * g - u)
             self.model.p[k] -= np.float32(rate / (1 - 0.9 ** self.t[k])) * m / (np.sqrt(u / np.float32(1 - 0.98 ** self.t[k])) + np.float32(1e-6))
-        self.model.ready = None
+        self.model.ready = None if deep else {k: v for k, v in self.model.ready.items() if k not in OUTER}
 
 
-def windows(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows(model: Model, texts: list[np.ndarray], size: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """Input classes and ids of all windows of the id sequences; each id is in one, -1 fills a text's last."""
     lens = np.array([len(t) for t in texts], np.int64)
-    held = -(-lens // CONTEXT) * CONTEXT
+    held = -(-lens // size) * size
     x, y = np.zeros(int(held.sum()), np.int16), np.full(int(held.sum()), -1, np.int32)
     if len(x):
         ids = np.concatenate(texts).astype(np.int32)
@@ -369,14 +423,14 @@ def windows(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
         before[1:] = ids[:-1]
         before[starts[lens > 0]] = END
         x[at], y[at] = model.in_class[before], ids
-    return x.reshape(-1, CONTEXT), y.reshape(-1, CONTEXT)
+    return x.reshape(-1, size), y.reshape(-1, size)
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N_IDS, np.int64)
     for b in batches:
-        for t in b.column(0):
-            total += np.bincount(np.frombuffer(t.as_py(), "<u2"), minlength=N_IDS)
+        for at in range(0, b.num_rows, 64):
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(at, 64).to_pylist()), "<u2"), minlength=N_IDS)
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "c"])
 
@@ -386,14 +440,20 @@ def _some(share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(t.as_py(), "<u2")
-                n = -(-len(ids) // CONTEXT)
-                key = (np.arange(n, dtype=np.uint64) + np.uint64((uid << 24) % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+            for at in range(0, b.num_rows, 256):
+                uid, texts = b.column(0).slice(at, 256).to_numpy().astype(np.uint64), b.column(1).slice(at, 256).to_pylist()
+                n = -(-np.array([len(t) // 2 for t in texts]) // CONTEXT)
+                row, nth = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                key = (nth.astype(np.uint64) + (uid << np.uint64(24))[row]) * np.uint64(0x9E3779B97F4A7C15)
                 key = ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(24)
-                for w in np.flatnonzero(key < share * (1 << 40)).tolist():
+                found = np.flatnonzero(key < share * (1 << 40))
+                out = []
+                for r, w in zip(row[found].tolist(), nth[found].tolist(), strict=True):
+                    ids = np.frombuffer(texts[r], "<u2")
                     before = ids[w * CONTEXT - 1 : w * CONTEXT] if w else np.array([END], "<u2")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(key[w])]), pa.array([np.concatenate([before, ids[w * CONTEXT : (w + 1) * CONTEXT]]).tobytes()], pa.binary())], ["key", "ids"])
+                    out.append(np.concatenate([before, ids[w * CONTEXT : (w + 1) * CONTEXT]]).tobytes())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[found].astype(np.int64)), pa.array(out, pa.binary())], ["key", "ids"])
 
     return run
 
@@ -473,21 +533,22 @@ _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 
 
 def _read(head, c_end: int, total: float, tokenizer: str | None):
-    """A row for each document, with its ids and the base score of its frequent words, and one for each of its other words."""
+    """A row for each document, with its ids and the base score of its frequent words, and one for each of its other words, with whether it is held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (ids_of, opens), get = _ids(tokenizer or common.tokenizer_file(TOKENIZER)), head.value.get
+        (ids_of, opens), frequent = _ids(tokenizer or common.tokenizer_file(TOKENIZER)), head.value
         uid = TaskContext.get().partitionId() << 33
         log_total, end = math.log10(total), math.log10((c_end + 1) / total)
         for big in batches:
             for at, stop in steps(big.column(1)):
                 b = big.slice(at, stop - at)
                 codes, words, ends = words_of(b.column(1))
-                ids = subwords(codes, ends, *word_ids(words, ids_of, opens))
                 keys = word_keys(words)
-                logs = np.array([get(k, np.nan) for k in keys], np.float64)
+                places = frequent.places(keys)
+                ids = subwords(codes, ends, *frequent.encode(words, places, ids_of, opens))
+                logs = frequent.logs[places]
                 of = np.repeat(np.arange(b.num_rows), np.diff(ends))
                 mine = logs[codes]
                 other = np.isnan(mine)
@@ -500,7 +561,7 @@ def _read(head, c_end: int, total: float, tokenizer: str | None):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + k)), b.column(0), b.column(2), pa.array(n + 1), pa.array(known + (c_end > 0)), pa.array(part), pa.array(ids, pa.binary()), none(k, pa.string()), none(k, pa.int64())], _NAMES)
                 if m:
                     doc, word = np.divmod(pair, len(words))
-                    yield pa.RecordBatch.from_arrays([pa.array(uid + doc), none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(keys, pa.string()).take(pa.array(word)), pa.array(tf)], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid + doc), none(m, pa.int64()), b.column(2).take(pa.array(doc)), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(keys, pa.string()).take(pa.array(word)), pa.array(tf)], _NAMES)
                 uid += k
 
     return run
@@ -526,16 +587,17 @@ def _score(model):
     return run
 
 
-def frequent(counts: DataFrame) -> dict[str, float]:
-    """log10(c + 1) of the most frequent words, at most HEAD_WORDS: those above the least count that leaves so few."""
+def totals(counts: DataFrame) -> tuple[int, int, dict[str, float]]:
+    """How many words there are, the sum of their counts, and log10(c + 1) of the most frequent, at most HEAD_WORDS: those above the least count that leaves so few."""
     step = F.floor(F.log2("c") * 8).cast("int")
+    rows = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("c")).orderBy(F.desc("step")).collect()
     least, held = 0, 0
-    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        held += r["count"]
+    for r in rows:
+        held += r.words
         if held > HEAD_WORDS:
             least = r.step + 1
             break
-    return {r.word: math.log10(r.c + 1) for r in counts.where(step >= least).toLocalIterator()}
+    return sum(r.words for r in rows), sum(r.c for r in rows), {r.word: math.log10(r.c + 1) for r in counts.where(step >= least).toLocalIterator()}
 
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
@@ -546,11 +608,11 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", token
     src = source(docs, text_col, id_col)
     counts = common.written(src.where("not held_out").select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_docs = src.where("not held_out").count()
-    seen = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    distinct, total = seen[0] + (n_docs > 0), seen[1] + n_docs
+    distinct, total, logs = totals(counts)
+    distinct, total = distinct + (n_docs > 0), total + n_docs
     divisor = float(total + 1 * (distinct + 1))
     sc = spark.sparkContext
-    rows = common.written(src.mapInArrow(_read(sc.broadcast(frequent(counts)), n_docs, divisor, tokenizer), _ROW), "read")
+    rows = common.written(src.mapInArrow(_read(sc.broadcast(Head(logs)), n_docs, divisor, tokenizer), _ROW), "read")
     train = rows.where("ids is not null and not held_out")
     id_counts = np.zeros(N_IDS)
     for r in train.select("ids").mapInArrow(_id_counts, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
@@ -559,8 +621,8 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", token
     some = train.select("uid", "ids").mapInArrow(_some(START_WINDOWS / max(1.0, n_windows)), "key long, ids binary").orderBy("key", "ids").limit(START_WINDOWS).collect()
     model = train_all(train, fit([np.frombuffer(r.ids, "<u2").astype(np.int32) for r in some], id_counts))
     scored = rows.where("ids is not null").mapInArrow(_score(sc.broadcast(model)), ", ".join([*_ROW.split(", ")[:6], "score double"]))
-    rare = rows.where("word is not null").select("uid", "word", "tf").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    c = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("tf"))).over(Window.partitionBy("word"))
+    rare, c = rows.where("word is not null").select("uid", "tf", c.alias("c")), F.col("c")
     rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(divisor))).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("found"))
     return scored.join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
