@@ -262,31 +262,33 @@ class Model:
     def states(self, x: np.ndarray, since: int = 0):
         """x: windows of input classes, the id before each scored one. States (rows) from place `since` on, and what led there."""
         p, w, n = self.p, self.layers(), len(x)
-        late, at = x[:, since:].reshape(-1), x.reshape(-1)
-        e = p["emb"].take(at, 0).reshape(n, CONTEXT, DIM)
-        f = np.matmul(w["query"].take(late, 0).reshape(n, CONTEXT - since, DIM), np.ascontiguousarray(e.transpose(0, 2, 1)))
+        at = x.reshape(-1).astype(np.intp)
+        late = at.reshape(n, CONTEXT)[:, since:].reshape(-1)
+        e = p["emb"].take(at, 0, mode="clip").reshape(n, CONTEXT, DIM)
+        keys = np.ascontiguousarray(e.transpose(0, 2, 1))
+        f = np.matmul(w["query"].take(late, 0, mode="clip").reshape(n, CONTEXT - since, DIM), keys)
         f += w["rel"][since:]
         f = soft(f, np.float32(0))  # zero for places that come later
-        h = np.matmul(f, w["value"].take(at, 0).reshape(n, CONTEXT, DIM)).reshape(-1, DIM)
+        h = np.matmul(f, w["value"].take(at, 0, mode="clip").reshape(n, CONTEXT, DIM)).reshape(-1, DIM)
         part = 1 / np.maximum(h[:, -1:], TINY)
         h *= part
-        h += w["self"].take(late, 0)
-        return h, (e, f, part)
+        h += w["self"].take(late, 0, mode="clip")
+        return h, (e, f, part, keys)
 
     def block_states(self, x: np.ndarray, opens: np.ndarray) -> np.ndarray:
         """x: blocks of STRIDE input classes. States (rows) of those after the first, as in a window with the block before; where one opens a text, of itself only."""
-        w, n, at = self.layers(), len(opens), x.reshape(-1)
+        w, n, at = self.layers(), len(opens), x.reshape(-1).astype(np.intp)
         late = at[STRIDE:]
         step, item = STRIDE * DIM * 4, 4
-        keys = np.ascontiguousarray(self.p["emb"].take(at, 0).T)
+        keys = np.ascontiguousarray(self.p["emb"].take(at, 0, mode="clip").T)
         keys = as_strided(keys, (n, DIM, CONTEXT), (STRIDE * item, keys.strides[0], item))
-        f = np.matmul(w["query"].take(late, 0).reshape(n, STRIDE, DIM), keys)
+        f = np.matmul(w["query"].take(late, 0, mode="clip").reshape(n, STRIDE, DIM), keys)
         f += w["rel"][STRIDE:]
         f = soft(f, np.float32(0))
         f[opens, :, :STRIDE] = 0
-        h = np.matmul(f, as_strided(w["value"].take(at, 0), (n, CONTEXT, DIM), (step, DIM * item, item))).reshape(-1, DIM)
+        h = np.matmul(f, as_strided(w["value"].take(at, 0, mode="clip"), (n, CONTEXT, DIM), (step, DIM * item, item))).reshape(-1, DIM)
         h *= 1 / np.maximum(h[:, -1:], TINY)
-        h += w["self"].take(late, 0)
+        h += w["self"].take(late, 0, mode="clip")
         return h
 
     def heads(self, h: np.ndarray, ids: np.ndarray):
@@ -295,7 +297,7 @@ class Model:
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 2))
         order, head = order[: ends[-1]], int(ends[CLASSES])
-        s = h.take(order, 0)
+        s = h.take(order, 0, mode="clip")
         two = np.empty((head, MEMBERS), np.float32)
         for c in np.flatnonzero(np.diff(ends[:-1])).tolist():
             np.matmul(s[ends[c] : ends[c + 1]], w["out2"][c], out=two[ends[c] : ends[c + 1]])
@@ -315,7 +317,7 @@ class Model:
     def grads(self, x: np.ndarray, y: np.ndarray, deep: bool = True) -> dict[str, np.ndarray]:
         """Of the mean -log2 probability of ids y (-1: none); of the output layers only unless `deep`."""
         p, flat = self.p, y.reshape(-1)
-        h, (e, f, part) = self.states(x)
+        h, (e, f, part, keys) = self.states(x)
         order, ends, s, one, two, three = self.heads(h, flat)
         ids, head = flat[order], int(ends[CLASSES])
         member, share = self.member[ids], np.float32(1 / (max(1, len(ids)) * math.log(2)))
@@ -354,7 +356,7 @@ class Model:
         dc *= part
         de = np.matmul(f.transpose(0, 2, 1), dc.reshape(e.shape)).reshape(-1, DIM)
         dc[:, -1] -= np.einsum("ij,ij->i", dc, c)  # as each embedding ends in 1
-        df = np.matmul(dc.reshape(e.shape), e.transpose(0, 2, 1))
+        df = np.matmul(dc.reshape(e.shape), keys)
         df *= slope(f)
         dq, q = np.matmul(df, e).reshape(-1, DIM), (e.reshape(-1, DIM) @ p["mix"]).reshape(e.shape)
         dh += de
@@ -366,7 +368,7 @@ class Model:
         by = np.argsort(flat_x, kind="stable")
         first = np.flatnonzero(np.diff(flat_x[by], prepend=-1))
         out["emb"] = np.zeros_like(p["emb"])
-        out["emb"][flat_x[by[first]]] = np.add.reduceat(dh.take(by, 0), first, 0)
+        out["emb"][flat_x[by[first]]] = np.add.reduceat(dh.take(by, 0, mode="clip"), first, 0)
         out["emb"][:, -1] = 0
         return out
 
